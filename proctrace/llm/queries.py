@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proctrace.llm import warc
+from proctrace.llm import decontamination, mixing, warc
 from proctrace.llm.common import new_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +21,16 @@ def op1_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_warc_reassembly"] = op1_warc_reassembly
+
+
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mix.documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("text_key", "spans")
+
+
+QUERIES |= {"op2_source_mix": op2_source_mix, "op3_decontaminate": op3_decontaminate}
