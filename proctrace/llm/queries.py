@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proctrace.llm import decontamination, mixing, secrets, warc
+from proctrace.llm import ann, decontamination, mixing, pii, secrets, warc
 from proctrace.llm.common import new_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,17 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_secret_scan"] = op8_secret_scan
+
+
+def op9_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op9_pii_boosting"] = op9_pii_boosting
+
+
+def op7_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES["op7_ann_search"] = op7_ann_search
