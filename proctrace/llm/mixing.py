@@ -173,6 +173,8 @@ def _slots(sources: DataFrame, block_words: int, seed: int, cells: int = 1024) -
 
     slots = runs.join(live.select("rank", "slots", "blocks", "full", "source_size", "target_words"), "rank")
     slots = slots.withColumn("n", F.least("n", F.col("slots") - F.col("first"))).where("n > 0")
+    # few small rows become many slots: as many tasks as a shuffle has, not as their bytes suggest
+    slots = slots.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rank", "shard")
     slots = slots.withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
     slots = slots.withColumn("pass", F.floor(F.col("slot") / F.col("blocks")).cast("long")).withColumn("at", F.pmod("slot", "blocks"))
     # the block that is shorter, if any, ends each pass
