@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proctrace.llm import ann, decontamination, mixing, pii, secrets, warc
+from proctrace.llm import ann, decontamination, mixing, pii, secrets, toxicity, warc
 from proctrace.llm.common import new_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,11 @@ def op7_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_ann_search"] = op7_ann_search
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_texts(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES["op5_toxicity"] = op5_toxicity
