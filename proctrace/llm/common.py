@@ -73,15 +73,16 @@ def same_row(left: DataFrame, right: DataFrame, id_col: str = "doc_id", key: str
 def running_sum(values: Column, chunk: int = 256) -> Column:
     """For each element of an array of longs the sum up to and with it; near linear for long arrays."""
     zero = F.lit(0).cast("long")
-    add = lambda a, b: a + b
     n = F.size(values)
     chunks = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))).otherwise(F.array().cast("array<int>"))
-    totals = F.transform(chunks, lambda c: F.aggregate(F.slice(values, c * chunk + 1, chunk), zero, add))
+    # by element: slice() would copy the whole array for each chunk
+    places = lambda c: F.sequence(c * chunk, F.least(c * chunk + chunk, n) - 1)
+    totals = F.transform(chunks, lambda c: F.aggregate(places(c), zero, lambda acc, i: acc + F.get(values, i)))
 
     def within(c: Column) -> Column:
-        base = F.aggregate(F.slice(totals, F.lit(1), c), zero, add)
+        base = F.aggregate(F.slice(totals, F.lit(1), c), zero, lambda a, b: a + b)
         start = F.struct(base.alias("sum"), F.array().cast("array<bigint>").alias("all"))
-        step = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.array_append(acc["all"], acc["sum"] + x).alias("all"))
-        return F.aggregate(F.slice(values, c * chunk + 1, chunk), start, step, lambda acc: acc["all"])
+        step = lambda acc, i: F.struct((acc["sum"] + F.get(values, i)).alias("sum"), F.array_append(acc["all"], acc["sum"] + F.get(values, i)).alias("all"))
+        return F.aggregate(places(c), start, step, lambda acc: acc["all"])
 
     return F.flatten(F.transform(chunks, within))

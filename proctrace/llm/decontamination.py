@@ -32,7 +32,16 @@ def item_words(text: Column) -> Column:
 
 
 def _groups(words: Column, g: int, starts: Column) -> Column:
-    return F.transform(starts, lambda i: F.xxhash64(F.lit(g), F.slice(words, i, g)))
+    # by element: slice() would copy the whole array for each group
+    return F.transform(starts, lambda i: F.xxhash64(F.lit(g), *[F.get(words, i + (k - 1)) for k in range(g)]))
+
+
+def _gram(words: Column, at: Column, width: int) -> Column:
+    return F.concat_ws(" ", *[F.get(words, at + (k - 1)) for k in range(width)])
+
+
+def _windows(words: Column, width: int) -> Column:
+    return F.transform(_starts(F.size(words), width, 1), lambda i: F.struct((i - 1).alias("low"), _gram(words, i, width).alias("gram")))
 
 
 def _starts(count: Column, width: int, step: int) -> Column:
@@ -68,7 +77,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = 13, share:
     grid = F.concat(*[_groups(F.col("words"), g, _starts(count, g, g)) for g in by_group]) if by_group else F.array().cast("array<bigint>")
     scan = stage(tokens.select("doc_id", "text_key", count.cast("long").alias("n_words"), grid.alias("grid")), "decon-scan")
     if probes is None:
-        spans = scan.where("false").select("doc_id", "text_key", F.lit(None).cast("array<struct<low:int,high:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+        none = scan.where("false").select("doc_id", "text_key", F.lit(None).cast("array<struct<low:int,high:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+        spans = stage(none, "decon-none")
     else:
         found = scan.select("doc_id", "text_key", F.explode("grid").alias("probe")).join(sent(probes.distinct()), "probe", "left_semi").select("doc_id", "text_key").distinct()
         found = stage(found, "decon-found")
@@ -77,7 +87,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = 13, share:
         held = stage(held.select("doc_id", "text_key", item_words(F.col("text")).alias("words")), "decon-held")
         hits = None
         for w in widths:
-            at = F.transform(_starts(F.size("words"), w, 1), lambda i, w=w: F.struct((i - 1).alias("low"), F.concat_ws(" ", F.slice("words", i, w)).alias("gram")))
+            at = _windows(F.col("words"), w)
             one = held.select("doc_id", "text_key", F.explode(at).alias("x")).select("doc_id", "text_key", F.col("x.low").alias("low"), (F.col("x.low") + w).alias("high"), F.col("x.gram").alias("gram"), F.lit(w).alias("width"))
             hits = one if hits is None else hits.unionByName(one)
         hits = hits.join(sent(windows), ["width", "gram"])

@@ -67,14 +67,17 @@ def window_entropy(text: Column, window: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.char_length(text["match"]) - 1), start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
+def _long_enough(found: Column, least: int) -> Column:
+    return F.filter(found, lambda x: F.char_length(x["part"]) >= least)
+
+
 def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
     """(doc_id, base, extra): arrays of spans (kind, rank, low, high), a row per document."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     base = []
     for rank, (kind, pattern, group, least) in enumerate(BASE):
-        found = F.filter(matches(F.col("text"), pattern, group), lambda x, least=least: F.char_length(x["part"]) >= least)
-        base.append(labelled(found, kind, rank))
+        base.append(labelled(_long_enough(matches(F.col("text"), pattern, group), least), kind, rank))
     long = F.filter(matches(F.col("text"), CANDIDATE), lambda x: x["match"].rlike("[0-9]") & ~x["match"].rlike("|".join(ALLOWED)))
     least = lambda m: F.coalesce(*[F.when(m.rlike(p), F.lit(bits)) for _, p, bits in CLASSES])
     scanned = F.transform(long, lambda x: F.struct(x["low"].alias("low"), window_entropy(F.struct(x["match"].alias("match"), least(x["match"]).alias("least")), window).alias("w")))
