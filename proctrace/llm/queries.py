@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proctrace.llm import ann, decontamination, jaccard, mixing, pii, secrets, toxicity, warc
+from proctrace.llm import ann, decontamination, jaccard, mixing, pii, secrets, substrings, toxicity, warc
 from proctrace.llm.common import new_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,10 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_ngram_jaccard"] = op4_ngram_jaccard
+
+
+def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False)
+
+
+QUERIES["op10_repeated_bytes"] = op10_repeated_bytes
