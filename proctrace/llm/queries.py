@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proctrace.llm import ann, decontamination, jaccard, mixing, pii, secrets, substrings, toxicity, warc
+from proctrace.llm import ann, decontamination, jaccard, lines, mixing, pii, secrets, substrings, toxicity, warc
 from proctrace.llm.common import new_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,10 @@ def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_repeated_bytes"] = op10_repeated_bytes
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op6_line_dedup"] = op6_line_dedup
