@@ -25,7 +25,8 @@ def fixed(x: Column, digits: int) -> Column:
 
 
 def to_data_url(jpeg: Column) -> Column:
-    return F.concat(F.lit("data:image/jpeg;base64,"), F.base64(jpeg))
+    # base64() may break lines
+    return F.concat(F.lit("data:image/jpeg;base64,"), F.translate(F.base64(jpeg), "\r\n", ""))
 
 
 def percent(part: Column, whole: Column) -> Column:
