@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 FRAMES = "client_id string, frame_id bigint, ts timestamp, width int, height int, pipeline_ok boolean"
 COMMANDS = "client_id string, ts timestamp, cmd_id bigint, command string, task_id bigint, actor_id bigint"
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 KEYPOINTS = "client_id string, task_id bigint, segment_start_us bigint, pos int, ts timestamp, x int, y int, bending_count bigint"
 
 
@@ -37,7 +38,7 @@ def register_views(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
 def write_keypoints(keypoints: DataFrame, root: str) -> None:
     """JSON records of each segment, in order, in folders by client and task."""
     one = keypoints.withColumn("task", F.coalesce(F.col("task_id").cast("string"), F.lit("no_task")))
-    one.repartition("client_id", "task", "segment_start_us").sortWithinPartitions("client_id", "task", "segment_start_us", "pos").write.partitionBy("client_id", "task").option("ignoreNullFields", False).mode("append").json(root)
+    one.repartition("client_id", "task", "segment_start_us").sortWithinPartitions("client_id", "task", "segment_start_us", "pos").write.partitionBy("client_id", "task").option("ignoreNullFields", False).option("timestampFormat", MICROS).mode("append").json(root)
 
 
 def read_keypoints(spark: SparkSession, root: str) -> DataFrame:
