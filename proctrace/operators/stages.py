@@ -65,31 +65,32 @@ class Registry:
     def run(self, frames: DataFrame) -> DataFrame:
         """Adds a struct column for each enabled stage; a row whose stage fails has success false and the error."""
         stages = self.ordered()
+        names = {s.name: s.schema().names for s in stages}
         schema = T.StructType([*frames.schema.fields, *[T.StructField(s.name, s.schema()) for s in stages]])
 
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             loaded = {s.name: s.setup() if s.setup else None for s in stages}
             for batch in batches:
                 for s in stages:
-                    batch[s.name] = _guarded(s, batch, loaded[s.name])
+                    batch[s.name] = _guarded(s, names[s.name], batch, loaded[s.name])
                 yield batch
 
         return frames.mapInPandas(work, schema)
 
 
-def _envelope(stage: Stage, row: dict) -> dict:
-    return {f.name: row.get(f.name) for f in stage.schema()} | {"success": row.get("success", True), "error": row.get("error")}
+def _envelope(names: list[str], row: dict) -> dict:
+    return {n: row.get(n) for n in names} | {"success": row.get("success", True), "error": row.get("error")}
 
 
-def _guarded(stage: Stage, batch: pd.DataFrame, model: object) -> list[dict]:
+def _guarded(stage: Stage, names: list[str], batch: pd.DataFrame, model: object) -> list[dict]:
     """The whole batch at once; row by row if that fails, so that one row's failure is its own."""
     try:
-        return [_envelope(stage, r) for r in stage.infer(batch, model)]
+        return [_envelope(names, r) for r in stage.infer(batch, model)]
     except Exception:  # noqa: BLE001  the row's own error follows
         out = []
         for i in range(len(batch)):
             try:
-                out.append(_envelope(stage, stage.infer(batch.iloc[i : i + 1], model)[0]))
+                out.append(_envelope(names, stage.infer(batch.iloc[i : i + 1], model)[0]))
             except Exception as e:  # noqa: BLE001
-                out.append(_envelope(stage, {"success": False, "error": str(e)}))
+                out.append(_envelope(names, {"success": False, "error": str(e)}))
         return out
