@@ -3,14 +3,14 @@
 A document is the set of its distinct n-word shingles. Sets fall into size bands. Two sets of
 similarity ``num / den`` or more whose larger one lies in a band differ in at most h elements, h
 from the band's largest size. The band's hash partitions the universe into m segments, and d of
-these allow one difference, with m + d = h + 1: by the pigeonhole principle some segment of the
-two is equal, or differs by one element and allows that. A set is indexed by its segments'
+these allow one difference, with m + d = h + 1 + spare: by the pigeonhole principle segments
+worth spare + 1 of the two are equal, or differ by one element and allow that. A set is indexed by its segments'
 contents and, for the d segments, by those with one element deleted too. How many segments of
 which kind a band gets is chosen by cost: signatures written plus accidental partners expected,
 from the band's number of documents. A set is indexed in its own band and in those whose sets
-it may be similar to. Empty segments match by accident, so they are left out, and a set that
-has one is indexed under a second partition too, and under a third, with empty segments, if
-need be: two similar sets that agree in empty segments alone both go there.
+it may be similar to. Empty segments match by accident, so they are left out; a set that
+leaves out more than the band can spare is indexed under a second partition too, and under a
+third, with empty segments, if need be: two similar sets that agree in nothing else both are.
 
 Candidates are verified on the whole sets. Equal sets are one node. First, each node is held
 against the smallest node of each signature; links found join nodes to classes, and only nodes
@@ -28,6 +28,7 @@ table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -48,6 +49,7 @@ class Band(NamedTuple):
     least: int
     segments: int
     deletions: int
+    spare: int  # how many segments' worth of empty ones the band can do without
 
 
 def shingles(text: bytes, n: int) -> np.ndarray:
@@ -62,7 +64,7 @@ def shingles(text: bytes, n: int) -> np.ndarray:
     return np.unique(h)
 
 
-def band_starts(most: int, growth: float = 1.2) -> list[int]:
+def band_starts(most: int, growth: float) -> list[int]:
     """Least sizes of bands that hold sizes up to most, and what sets of that size are similar to."""
     out = [1]
     while out[-1] <= 2 * most:
@@ -71,7 +73,7 @@ def band_starts(most: int, growth: float = 1.2) -> list[int]:
 
 
 def allocate(starts: list[int], counts: dict[int, int], num: int, den: int, chance: float = 0.3, price: float = 4.0) -> list[Band]:
-    """For each band the numbers of segments and of those with deletions that cost least.
+    """For each band the numbers of segments, of those with deletions and of spare ones that cost least.
 
     chance: how likely it is, for each element, that unlike sets agree in it by accident;
     price: what a pair costs, in signatures.
@@ -81,14 +83,19 @@ def allocate(starts: list[int], counts: dict[int, int], num: int, den: int, chan
         most, n = starts[b + 1] - 1, counts.get(b, 0)
         h = (2 * most * (den - num)) // (den + num)
         best = None
-        for d in range(0, min(h + 1, 2 * ((h + 1) // 2)) // 2 + 1):
-            m = h + 1 - d
-            per = least / m
-            hit = (m - d) * chance**per + d * (per + 1) * chance ** max(per - 1, 0)
-            cost = n * (m + d * per) + price * n * n / 2 * min(1.0, hit / max(1, m)) * chance**6
-            if best is None or cost < best[0]:
-                best = (cost, m, d)
-        bands.append(Band(least, best[1], best[2]))
+        for spare in range(0, 9):
+            for d in {0, 1, 2, 3, 4, (h + 1) // 4, (h + 1) // 2}:
+                m = h + 1 + spare - d
+                if d > m or (d and least < 3 * m):
+                    continue
+                per = least / m
+                empty = (m + d * (2 + 2 * per)) * math.exp(-per)  # expected weight of what is left out
+                again = 1 - sum(math.exp(-empty) * empty**k / math.factorial(k) for k in range(spare + 1))
+                hit = (m - d) * chance**per + d * (per + 1) * chance ** max(per - 1, 0)
+                cost = n * (m + d * per) * (1 + again + again**2) + price * n * n / 2 * min(1.0, hit / m) * chance**6
+                if best is None or cost < best[0]:
+                    best = (cost, m, d, spare)
+        bands.append(Band(least, *best[1:]))
     return bands
 
 
@@ -99,7 +106,7 @@ def signatures(s: np.ndarray, starts: list[int], bands: list[Band], num: int, de
     out = []
     own, far = bisect_right(starts, len(s)) - 1, bisect_right(starts, len(s) * den // num) - 1
     for b in range(own, far + 1):
-        _, m, d = bands[b]
+        _, m, d, spare = bands[b]
         for turn in range(3):
             salt = np.uint64((b * 1_000_003 + turn * 7919 + 1) * 0xD1B54A32D192ED03 % (1 << 64))
             value = mix(s + salt)
@@ -119,7 +126,8 @@ def signatures(s: np.ndarray, starts: list[int], bands: list[Band], num: int, de
                     near &= counts[segment.astype(np.int64)] > 1
                 at = segment[near].astype(np.int64)
                 out.append(mix(sums[at] - element[near] + tag[at]))
-            if len(full) == m and not (d and (counts[:d] == 1).any()):
+            # what is left out: empty segments, and of those with deletions the ones of one element too
+            if (m - len(full)) + 2 * int((counts[:d] == 1).sum()) + int((counts[:d] == 0).sum()) <= spare:
                 break
     return np.unique(np.concatenate(out))
 
@@ -139,7 +147,7 @@ def jaccard_classes(docs: DataFrame, *, n: int = 3, num: int = 9, den: int = 10,
     # sizes only guide the cost; counting words is near enough
     size = F.greatest(F.lit(1), F.coalesce(F.regexp_count("text", F.lit(SPACE_WORD)), F.lit(0)) - (n - 1))
     counts = base.groupBy(F.floor(F.log(size.cast("double")) * 16).cast("int").alias("step")).agg(F.count("*").alias("n"), F.max(size).alias("most")).collect()  # some hundred rows
-    starts = band_starts(max((r["most"] for r in counts), default=1))
+    starts = band_starts(max((r["most"] for r in counts), default=1), 1.2 if 10 * num >= 9 * den else 1.5)
     by_band: dict[int, int] = {}
     for r in counts:
         b = bisect_right(starts, int(np.exp((r["step"] + 0.5) / 16))) - 1

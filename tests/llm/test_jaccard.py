@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+import pytest
+
 from proctrace.llm import jaccard
 from proctrace.llm.components import components
 
@@ -68,22 +71,24 @@ def test_against_all_pairs(spark, docs):
     assert got(docs(rows)) == plain(rows)
 
 
-def test_signatures_lose_no_similar_pair():
-    import numpy as np
-
+@pytest.mark.parametrize(("num", "den"), [(9, 10), (4, 5)])
+def test_signatures_lose_no_similar_pair(num, den):
     rng = np.random.default_rng(1)
-    starts = jaccard.band_starts(3000)
-    for counts in ({}, {b: 10**7 for b in range(60)}):
-        bands = jaccard.allocate(starts, counts, 9, 10)
-        for _ in range(400):
-            n = int(rng.integers(1, 400))
+    starts = jaccard.band_starts(3000, 1.3)
+    deletions = [b._replace(segments=b.segments - k, deletions=k) if b.segments >= 2 * k else b for b in jaccard.allocate(starts, {}, num, den) for k in [min(2, b.segments // 3)]]
+    tried = 0
+    for bands in (jaccard.allocate(starts, {}, num, den), jaccard.allocate(starts, {b: 10**7 for b in range(60)}, num, den), deletions):
+        for _ in range(1500):
+            n = int(rng.integers(1, 80) if rng.random() < 0.7 else rng.integers(80, 500))
             a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
-            h = (len(a) - -(-9 * 2 * len(a) // 19)) * 2 // 2
-            drop = rng.integers(0, h + 1) if h > 0 else 0
-            b = np.unique(np.concatenate([a[drop:], rng.integers(0, 1 << 63, rng.integers(0, h - drop + 1) if h > drop else 0).astype(np.uint64)]))
+            h = int(2 * len(a) * (den - num) / (den + num)) + 1
+            drop = min(len(a) - 1, int(rng.integers(0, h + 1)))
+            b = np.unique(np.concatenate([a[drop:], rng.integers(0, 1 << 63, int(rng.integers(0, h + 2))).astype(np.uint64)]))
             common = len(np.intersect1d(a, b))
-            if 10 * common >= 9 * (len(a) + len(b) - common):
-                assert len(np.intersect1d(jaccard.signatures(a, starts, bands, 9, 10), jaccard.signatures(b, starts, bands, 9, 10)))
+            if den * common >= num * (len(a) + len(b) - common):
+                tried += 1
+                assert len(np.intersect1d(jaccard.signatures(a, starts, bands, num, den), jaccard.signatures(b, starts, bands, num, den)))
+    assert tried > 500
 
 
 def test_empty_table_and_representatives(spark, docs):
