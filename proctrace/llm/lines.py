@@ -1,12 +1,13 @@
 """Line dedup: exact set-similarity join of lines, later matches removed.
 
 A line is the set of its words. Words are ordered by rarity: their counts over all documents,
-in ``buckets`` hashed counters, put them in classes, the rarest first, then by hash. Lines of
-Jaccard similarity num / den or more share a word among the first
-|x| - ceil(num / den * |x|) + 1 (prefix filter); distinct lines are joined on those words, and in
-the join itself pairs pass bounds on their lengths, on the shared word's positions (what can
-still be common after it) and on parity sketches of their words (bits that differ are fewer than
-words that differ). Pairs that pass are verified on the words. A line is removed where an
+in ``buckets`` hashed counters, are ranked and put in classes, the rarest first, then by hash. Of
+two lines x and y, |y| <= |x|, of Jaccard similarity t = num / den or more, the first
+|x| - ceil(t * |x|) + 1 words of x and the first |y| - ceil(2 t / (1 + t) * |y|) + 1 of y share one
+(prefix filter). Distinct lines are joined on those words and on size bands (length filter; y is
+in the band of x or the one below), and in the join itself pairs pass bounds on their lengths, on
+the shared word's positions (what can still be common after it) and on parity sketches of their
+words (bits that differ are fewer than words that differ). Pairs that pass are verified on the words. A line is removed where an
 earlier line, by document id, text and line number, is similar; lines without words stay.
 
 Only DataFrame functions are used.
@@ -40,8 +41,8 @@ def _classes(text: DataFrame, buckets: int) -> Column:
     words = text.select(F.explode(F.split("text", SPACES)).alias("word"))
     counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int").alias("bucket")).count().collect()  # buckets rows at most
     classes = [0] * buckets
-    for r in counts:
-        classes[r["bucket"]] = min(120, int(4 * math.log2(r["count"] + 1)))
+    for rank, r in enumerate(sorted(counts, key=lambda r: (r["count"], r["bucket"]))):
+        classes[r["bucket"]] = 120 * rank // len(counts)
     return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<int>")
 
 
@@ -58,7 +59,7 @@ def _sketch(words: Column) -> Column:
     return F.aggregate(words, start, step)
 
 
-def repeated_lines(docs: DataFrame, *, num: int = 4, den: int = 5, buckets: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, *, num: int = 4, den: int = 5, buckets: int = 32_768, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, no): the lines to remove, by number from 0."""
     base = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text")).where("text is not null")
     classes = _classes(base, buckets)
@@ -75,19 +76,22 @@ def repeated_lines(docs: DataFrame, *, num: int = 4, den: int = 5, buckets: int
 
     first = lines.groupBy(*KEY, "odd2").agg(F.min(place).alias("place"), F.first("prefix").alias("prefix"))
     first = stage(first, "line-first")
-    index = first.select(*KEY, "odd2", F.posexplode("prefix").alias("at", "word"))
-    left = index.select("word", *[F.col(c).alias(f"{c}_a") for c in (*KEY, "odd2", "at")])
-    right = index.select("word", *[F.col(c).alias(f"{c}_b") for c in (*KEY, "odd2", "at")])
+    step = math.log(den / num * 1.01)
+    band = F.floor(F.log(F.col("size").cast("double")) / step).cast("int")
+    left = first.select(*[F.col(c).alias(f"{c}_a") for c in (*KEY, "odd2")], band.alias("band"), F.posexplode("prefix").alias("at_a", "word"))
+    short = F.slice("prefix", F.lit(1), F.col("size") - F.ceil(F.col("size") * (2 * num) / (den + num)).cast("int") + 1)
+    right = first.select(*[F.col(c).alias(f"{c}_b") for c in (*KEY, "odd2")], F.explode(F.array(band, band + 1)).alias("band"), short.alias("prefix"))
+    right = right.select(*[f"{c}_b" for c in (*KEY, "odd2")], "band", F.posexplode("prefix").alias("at_b", "word"))
     both = F.col("size_a") + F.col("size_b")
     differ = F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b"))) + F.bit_count(F.col("odd2_a").bitwiseXOR(F.col("odd2_b")))
     rest = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
     hope = (
-        (F.col("line_a") < F.col("line_b"))
-        & (F.least("size_a", "size_b") * den >= F.greatest("size_a", "size_b") * num)
+        ((F.col("size_b") < F.col("size_a")) | ((F.col("size_b") == F.col("size_a")) & (F.col("line_a") < F.col("line_b"))))
+        & (F.col("size_b") * den >= F.col("size_a") * num)
         & (differ * (den + num) <= both * (den - num))
         & (rest * (den + num) >= both * num)
     )
-    pairs = left.join(right.hint("shuffle_hash"), (left["word"] == right["word"]) & hope)
+    pairs = left.join(right.hint("shuffle_hash"), (left["word"] == right["word"]) & (left["band"] == right["band"]) & hope)
     pairs = stage(pairs.select(*[f"{c}_{s}" for s in "ab" for c in KEY]).distinct(), "line-pairs")
     similar = _verified(base, first, pairs, num, den)
 
