@@ -57,7 +57,7 @@ def _sketch(words: Column) -> Column:
     return F.aggregate(words, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x)))
 
 
-def repeated_lines(docs: DataFrame, *, num: int = 4, den: int = 5, buckets: int = 32_768, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, *, num: int = 4, den: int = 5, buckets: int = 32_768, turns: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, no): the lines to remove, by number from 0."""
     base = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), _plain(F.col(text_col)).alias("text")).where("text is not null")
     classes = _classes(base, buckets)
@@ -98,9 +98,16 @@ def repeated_lines(docs: DataFrame, *, num: int = 4, den: int = 5, buckets: int
         & (differ * (den + num) <= both * (den - num))
         & (rest * (den + num) >= both * num)
     )
-    pairs = left.join(right.hint("shuffle_hash"), (left["key"] == right["key"]) & hope)
-    pairs = pairs.select(*[c for s, n in (("a", size_a), ("b", size_b)) for c in (f"line_{s}", f"odd_{s}", n.cast("int").alias(f"size_{s}"))])
-    pairs = stage(pairs.distinct(), "line-pairs")
+    # in turns by key: the shuffle files of one turn go before the next
+    pairs = None
+    for turn in range(turns):
+        of_turn = F.pmod("key", F.lit(turns)) == turn
+        l, r = left.where(of_turn), right.where(of_turn)  # noqa: E741
+        found = l.join(r.hint("shuffle_hash"), (l["key"] == r["key"]) & hope)
+        found = found.select(*[c for s, n in (("a", size_a), ("b", size_b)) for c in (f"line_{s}", f"odd_{s}", n.cast("int").alias(f"size_{s}"))])
+        found = stage(found.distinct(), "line-pairs")
+        pairs = found if pairs is None else pairs.unionByName(found)
+    pairs = pairs.distinct()
     similar = _verified(base, first, pairs, num, den)
 
     later = F.greatest("place_a", "place_b")
