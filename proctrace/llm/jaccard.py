@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proctrace.llm.bytes import binaries, mix, word_hashes
-from proctrace.llm.common import SPACE_WORD, same_row, stage, text_key
+from proctrace.llm.common import SPACE_WORD, discard, same_row, stage, text_key
 from proctrace.llm.components import components
 
 SKETCH = 4  # words of 64 bits
@@ -83,14 +83,14 @@ def allocate(starts: list[int], counts: dict[int, int], num: int, den: int, chan
         most, n = starts[b + 1] - 1, counts.get(b, 0)
         h = (2 * most * (den - num)) // (den + num)
         best = None
-        for spare in range(0, 9):
+        for spare in sorted({*range(9), *(h * k // 40 for k in range(1, 13))}):
             for d in {0, 1, 2, 3, 4, (h + 1) // 4, (h + 1) // 2}:
                 m = h + 1 + spare - d
                 if d > m or (d and least < 3 * m):
                     continue
                 per = least / m
                 empty = (m + d * (2 + 2 * per)) * math.exp(-per)  # expected weight of what is left out
-                again = 1 - sum(math.exp(-empty) * empty**k / math.factorial(k) for k in range(spare + 1))
+                again = 0.5 * math.erfc((spare + 0.5 - empty) / math.sqrt(2 * empty + 1e-9))  # that a set needs another partition
                 hit = (m - d) * chance**per + d * (per + 1) * chance ** max(per - 1, 0)
                 cost = n * (m + d * per) * (1 + again + again**2) + price * n * n / 2 * min(1.0, hit / m) * chance**6
                 if best is None or cost < best[0]:
@@ -147,7 +147,7 @@ def jaccard_classes(docs: DataFrame, *, n: int = 3, num: int = 9, den: int = 10,
     # sizes only guide the cost; counting words is near enough
     size = F.greatest(F.lit(1), F.coalesce(F.regexp_count("text", F.lit(SPACE_WORD)), F.lit(0)) - (n - 1))
     counts = base.groupBy(F.floor(F.log(size.cast("double")) * 16).cast("int").alias("step")).agg(F.count("*").alias("n"), F.max(size).alias("most")).collect()  # some hundred rows
-    starts = band_starts(max((r["most"] for r in counts), default=1), 1.2 if 10 * num >= 9 * den else 1.5)
+    starts = band_starts(max((r["most"] for r in counts), default=1), 1.2 if 10 * num >= 9 * den else 1.3)
     by_band: dict[int, int] = {}
     for r in counts:
         b = bisect_right(starts, int(np.exp((r["step"] + 0.5) / 16))) - 1
@@ -178,6 +178,8 @@ def jaccard_classes(docs: DataFrame, *, n: int = 3, num: int = 9, den: int = 10,
     sets = stage(base.mapInArrow(index, f"doc_id {id_type}, text_key long, n_shingles long, node long, node2 long, sigs array<long>, sketch array<long>"), "jac-sets")
     lead = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     nodes = stage(sets.where("n_shingles > 0").groupBy("node", "node2", "n_shingles").agg(F.min(lead).alias("lead"), F.min("doc_id").alias("least"), F.first("sigs").alias("sigs"), F.first("sketch").alias("sketch")), "jac-nodes")
+    whole, sets = sets, stage(sets.select("doc_id", "text_key", "n_shingles", "node"), "jac-rows")
+    discard(whole)
     links = _links(base, nodes, n, num, den)
     roots = components(links)
     named = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
@@ -193,6 +195,7 @@ def _links(base: DataFrame, nodes: DataFrame, n: int, num: int, den: int) -> Dat
     index = nodes.select("node", F.explode("sigs").alias("sig"))
     shared = stage(index.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot < other").drop("other"), "jac-shared")
     members = stage(index.join(shared, "sig"), "jac-members")
+    discard(shared)
     pairs = stage(members.where("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n_sigs")), "jac-pairs")
     sizes = nodes.select("node", F.col("n_shingles").alias("size"), "sketch")
     hopeful = stage(_bounded(pairs, sizes, num, den), "jac-hopeful")
