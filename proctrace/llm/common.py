@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,19 +81,37 @@ def same_row(left: DataFrame, right: DataFrame, id_col: str = "doc_id", key: str
     return left[id_col].eqNullSafe(right[id_col]) & (left[key] == right[key])
 
 
-def running_sum(values: Column, chunk: int = 256) -> Column:
-    """For each element of an array of longs the sum up to and with it; near linear for long arrays."""
-    zero = F.lit(0).cast("long")
-    n = F.size(values)
-    chunks = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))).otherwise(F.array().cast("array<int>"))
-    # by element: slice() would copy the whole array for each chunk
-    places = lambda c: F.sequence(c * chunk, F.least(c * chunk + chunk, n) - 1)
-    totals = F.transform(chunks, lambda c: F.aggregate(places(c), zero, lambda acc, i: acc + F.get(values, i)))
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once for each row.
+
+    What a lambda of a higher-order function captures is computed anew for each element, unless
+    it is a column or, as here, another lambda's argument.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
+def scanned(values: Column, start: Column, step: Callable[[Column, Column], Column], chunk: int = 256) -> Column:
+    """The states after each element of an array, as an array: state' = step(state, element).
+
+    Elements are taken in chunks, so that what grows by appending stays short: near linear in
+    the number of elements.
+    """
+
+    def run(v: Column) -> Column:
+        n = F.size(v)
+        chunks = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))).otherwise(F.array().cast("array<int>"))
+        # by element: slice() would copy the whole array for each chunk
+        places = lambda c: F.sequence(c * chunk, F.least(c * chunk + chunk, n) - 1)
+        none = F.filter(F.array(start), lambda _: F.lit(False))
+        one = lambda acc, i: bound(step(acc["state"], F.get(v, i)), lambda new: F.struct(new.alias("state"), F.array_append(acc["all"], new).alias("all")))
+        part = lambda state, c: F.aggregate(places(c), F.struct(state.alias("state"), none.alias("all")), one)
+        both = lambda acc, c: bound(part(acc["state"], c), lambda p: F.struct(p["state"].alias("state"), F.array_append(acc["parts"], p["all"]).alias("parts")))
+        parts = F.filter(F.array(none), lambda _: F.lit(False))
+        return F.aggregate(chunks, F.struct(start.alias("state"), parts.alias("parts")), both, lambda acc: F.flatten(acc["parts"]))
+
+    return bound(values, run)
 
-    def within(c: Column) -> Column:
-        base = F.aggregate(F.slice(totals, F.lit(1), c), zero, lambda a, b: a + b)
-        start = F.struct(base.alias("sum"), F.array().cast("array<bigint>").alias("all"))
-        step = lambda acc, i: F.struct((acc["sum"] + F.get(values, i)).alias("sum"), F.array_append(acc["all"], acc["sum"] + F.get(values, i)).alias("all"))
-        return F.aggregate(places(c), start, step, lambda acc: acc["all"])
 
-    return F.flatten(F.transform(chunks, within))
+def running_sum(values: Column) -> Column:
+    """For each element of an array of longs the sum up to and with it."""
+    return scanned(values, F.lit(0).cast("long"), lambda acc, x: acc + x)

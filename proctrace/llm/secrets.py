@@ -17,10 +17,12 @@ not; a null id stays null; an empty table gives an empty result; other columns a
 from __future__ import annotations
 
 import math
+import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proctrace.llm.common import bound
 from proctrace.llm.spans import SPAN, labelled, listed, matches
 
 #: Fixed by the contract: kind, pattern, group that is measured, least length.
@@ -30,12 +32,14 @@ BASE = (
     ("hex", r"[0-9a-f]{32,}+", None, 32),
 )
 CANDIDATE = r"[A-Za-z0-9+/_=-]{24,}+"
+#: The characters of candidates.
+KEY = string.ascii_letters + string.digits + "+/_=-"
 #: Character classes in order, with the least entropy in bits of a window.
 CLASSES = (("hex", r"^[0-9a-fA-F]+$", 3.0), ("alnum", r"^[A-Za-z0-9]+$", 3.7), ("base64", r"^[A-Za-z0-9+/_=-]+$", 3.9))
 ALLOWED = (
     r"^[0-9_/+=-]+$",
-    r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
-    r"^[/_=+-]*[A-Za-z]+([/_=+-]+([A-Za-z]+|[0-9]{1,8}))*[/_=+-]*$",
+    r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
+    r"^[/_=+-]*+[A-Za-z]++(?:[/_=+-]++(?:[A-Za-z]++|[0-9]{1,8}+))*+[/_=+-]*+$",
     r"^(.{1,6})\1{3,}",
 )
 
@@ -43,28 +47,51 @@ ALLOWED = (
 def window_entropy(text: Column, window: int) -> Column:
     """(first, last) starts, from 0, of windows that reach the text's threshold; null where none does.
 
-    text: a struct (match, least). Counts are kept per code of the character.
+    text: a struct (match, least). Counts of the characters of ``KEY`` are small numbers, packed
+    into a few longs, so a step costs the same at any length.
     """
-    codes = F.transform(F.split(text["match"], ""), lambda c: F.ascii(c))
+    bits = (window + 1).bit_length()
+    per = 63 // bits  # counters in a long
     terms = F.array(*[F.lit(0.0 if c < 2 else c * math.log2(c)) for c in range(window + 2)])
+    place = F.array(*[F.lit(KEY.find(chr(c))) for c in range(128)])
+    words = -(-len(KEY) // per)
+    word_of = F.array(*[F.lit(k // per) for k in range(len(KEY))])
+    shift_of = F.array(*[F.lit(k % per * bits) for k in range(len(KEY))])
+    unit_of = F.array(*[F.lit(1 << (k % per * bits)).cast("long") for k in range(len(KEY))])
     term = lambda c: F.get(terms, c)
-    counts = F.array_repeat(F.lit(0), 128)
 
-    def step(acc: Column, i: Column) -> Column:
-        enters = F.get(codes, i)
-        leaves = F.when(i >= window, F.get(codes, i - window)).otherwise(F.lit(-1))
-        more, less = F.get(acc["counts"], enters), F.get(acc["counts"], leaves)
-        same = enters == leaves
-        total = F.when(same, acc["total"]).otherwise(acc["total"] + term(more + 1) - term(more) + F.when(leaves >= 0, term(less - 1) - term(less)).otherwise(0.0))
-        changed = F.when(same, acc["counts"]).otherwise(F.transform(acc["counts"], lambda c, k: c + F.when(k == enters, 1).when(k == leaves, -1).otherwise(0)))
-        hit = (i >= window - 1) & (F.lit(math.log2(window)) - total / window >= text["least"])
-        first = F.when(hit & acc["first"].isNull(), i - window + 1).otherwise(acc["first"])
-        last = F.when(hit, i - window + 1).otherwise(acc["last"])
-        return F.struct(changed.alias("counts"), total.alias("total"), first.alias("first"), last.alias("last"))
+    def count(counts: Column, k: Column) -> Column:
+        shifted = F.call_function("shiftright", F.get(counts, F.get(word_of, k)), F.get(shift_of, k))
+        return shifted.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
 
-    none = F.lit(None).cast("int")
-    start = F.struct(counts.alias("counts"), F.lit(0.0).alias("total"), none.alias("first"), none.alias("last"))
-    return F.aggregate(F.sequence(F.lit(0), F.char_length(text["match"]) - 1), start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+    def fold(codes: Column) -> Column:
+        def moved(acc: Column, x: Column) -> Column:
+            """x: what enters and leaves, -1 for nothing, and the counts of both before."""
+            enters, leaves = x["enters"], x["leaves"]
+            total = acc["total"] + F.when(leaves < 0, 0.0).otherwise(term(x["less"] - 1) - term(x["less"])) + term(x["more"] + 1) - term(x["more"])
+            into, out = F.get(word_of, enters), F.when(leaves < 0, -1).otherwise(F.get(word_of, leaves))
+            plus = lambda w: F.when(w == into, F.get(unit_of, enters)).otherwise(F.lit(0).cast("long"))
+            minus = lambda w: F.when(w == out, F.get(unit_of, leaves)).otherwise(F.lit(0).cast("long"))
+            counts = F.transform(acc["counts"], lambda c, w: c + plus(w) - minus(w))
+            return F.struct(F.when(enters == leaves, acc["counts"]).otherwise(counts).alias("counts"), F.when(enters == leaves, acc["total"]).otherwise(total).alias("total"))
+
+        def step(acc: Column, i: Column) -> Column:
+            leaves = F.when(i >= window, F.get(codes, i - window)).otherwise(F.lit(-1))
+            x = F.struct(F.get(codes, i).alias("enters"), leaves.alias("leaves"))
+            x = bound(x, lambda x: F.struct(x["enters"], x["leaves"], count(acc["counts"], x["enters"]).alias("more"), F.when(x["leaves"] < 0, 0).otherwise(count(acc["counts"], x["leaves"])).alias("less")))
+
+            def after(new: Column) -> Column:
+                hit = (i >= window - 1) & (F.lit(math.log2(window) + 1e-12) - new["total"] / window >= text["least"])
+                first = F.when(hit & acc["first"].isNull(), i - window + 1).otherwise(acc["first"])
+                return F.struct(new["counts"].alias("counts"), new["total"].alias("total"), first.alias("first"), F.when(hit, i - window + 1).otherwise(acc["last"]).alias("last"))
+
+            return bound(bound(x, lambda x: moved(acc, x)), after)
+
+        none = F.lit(None).cast("int")
+        start = F.struct(F.array_repeat(F.lit(0).cast("long"), words).alias("counts"), F.lit(0.0).alias("total"), none.alias("first"), none.alias("last"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+
+    return bound(F.transform(F.split(text["match"], ""), lambda c: F.get(place, F.ascii(c))), fold)
 
 
 def _long_enough(found: Column, least: int) -> Column:
@@ -80,7 +107,8 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         base.append(labelled(_long_enough(matches(F.col("text"), pattern, group), least), kind, rank))
     long = F.filter(matches(F.col("text"), CANDIDATE), lambda x: x["match"].rlike("[0-9]") & ~x["match"].rlike("|".join(ALLOWED)))
     least = lambda m: F.coalesce(*[F.when(m.rlike(p), F.lit(bits)) for _, p, bits in CLASSES])
-    scanned = F.transform(long, lambda x: F.struct(x["low"].alias("low"), window_entropy(F.struct(x["match"].alias("match"), least(x["match"]).alias("least")), window).alias("w")))
+    entropy = lambda x: bound(F.struct(x["match"].alias("match"), least(x["match"]).alias("least")), lambda t: window_entropy(t, window))
+    scanned = F.transform(long, lambda x: F.struct(x["low"].alias("low"), entropy(x).alias("w")))
     scanned = F.filter(scanned, lambda x: x["w"]["first"].isNotNull())
     extra = F.transform(scanned, lambda x: F.struct(F.lit("entropy").alias("kind"), F.lit(len(BASE)).alias("rank"), (x["low"] + x["w"]["first"]).alias("low"), (x["low"] + x["w"]["last"] + window).alias("high")))
     return out.select("doc_id", F.concat(*base).cast(SPAN).alias("base"), extra.cast(SPAN).alias("extra"))

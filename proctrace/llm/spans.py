@@ -9,22 +9,36 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from proctrace.llm.common import running_sum
+from proctrace.llm.common import bound, running_sum
 
 SPAN = "array<struct<kind:string,rank:int,low:bigint,high:bigint>>"
 
 
-def matches(text: Column, pattern: str, group: int | None = None) -> Column:
-    """Leftmost non-overlapping matches: array of (low, high, match, part); part is the group's text."""
+def matches(text: Column, pattern: str, group: int | None = None, before: int | None = None) -> Column:
+    """Leftmost non-overlapping matches: array of (low, high, match, part, before).
+
+    part is the group's text; before, if asked for, at most that many characters before the match, back to
+    where the match before it starts. Each array is computed once for a text; work grows with the text.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x).cast("long"))
-    sizes = F.transform(found, lambda x: F.char_length(x).cast("long"))
-    # the k-th match starts after k + 1 gaps and k matches
-    ends = running_sum(F.zip_with(F.slice(gaps, F.lit(1), F.size(sizes)), sizes, lambda g, s: g + s))
-    parts = found if group is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    placed = F.arrays_zip(ends.alias("high"), sizes.alias("size"), found.alias("match"), parts.alias("part"))
-    full = F.transform(placed, lambda x: F.struct((x["high"] - x["size"]).alias("low"), x["high"].alias("high"), x["match"].alias("match"), x["part"].alias("part")))
-    return F.when(text.rlike(pattern), full).otherwise(F.array().cast("array<struct<low:bigint,high:bigint,match:string,part:string>>"))
+    parts = F.array().cast("array<string>") if group is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+    def placed(x: Column) -> Column:
+        sizes = F.transform(x["found"], lambda m: F.char_length(m).cast("long"))
+        # the k-th match ends after k + 1 gaps and k + 1 matches
+        ends = running_sum(F.zip_with(F.slice(x["gaps"], F.lit(1), F.size(x["found"])), sizes, lambda g, s: F.char_length(g) + s))
+
+        def one(m: Column, k: Column, end: Column) -> Column:
+            held = F.lit(None).cast("string")
+            if before is not None:
+                held = F.right(F.concat(F.when(k > 0, F.get(x["found"], k - 1)).otherwise(F.lit("")), F.get(x["gaps"], k)), F.lit(before))
+            part = m if group is None else F.get(x["parts"], k)
+            return F.struct((end - F.char_length(m)).alias("low"), end.alias("high"), m.alias("match"), part.alias("part"), held.alias("before"))
+
+        return bound(ends, lambda e: F.transform(x["found"], lambda m, k: one(m, k, F.get(e, k))))
+
+    full = bound(F.struct(found.alias("found"), F.split(text, pattern, -1).alias("gaps"), parts.alias("parts")), placed)
+    return F.when(text.rlike(pattern), full).otherwise(F.array().cast("array<struct<low:bigint,high:bigint,match:string,part:string,before:string>>"))
 
 
 def labelled(found: Column, kind: str, rank: int) -> Column:
