@@ -91,9 +91,66 @@ def test_pii(spark, docs):
 
 
 def test_long_text_and_many_matches(spark, docs):
-    text = "x@y.zz " * 3000 + "1" * 50_000 + " +49 30 1234567 " * 500
+    text = "x@y.zz " * 20_000 + "1" * 8_000 + " +49 30 1234567 " * 5000 + " 555 123 4567 x" * 2000
     rows = pii.pii_report(docs([(1, text)])).collect()
-    assert rows[0]["n_email"] == 3000 and rows[0]["base_sha256"] == digest(plain_pii(text))
+    assert rows[0]["n_email"] == 20_000 and rows[0]["base_sha256"] == digest(plain_pii(text))
+    text = "token=abcdefgh12 " * 20_000
+    rows = secrets.secret_report(docs([(1, text)])).collect()
+    assert rows[0]["n_assign"] == 20_000 and rows[0]["base_sha256"] == digest(plain_secrets(text))
+
+
+def plain_entropy(text, window=20):
+    """All entropy spans of a text, by a plain loop."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{24,}", text):
+        s = m[0]
+        if not re.search("[0-9]", s) or any(re.search(p, s) for p in [p.replace('*+', '*').replace('++', '+').replace('}+', '}') for p in secrets.ALLOWED]):
+            continue
+        least = next(bits for _, p, bits in secrets.CLASSES if re.search(p, s))
+        hits = [i for i in range(len(s) - window + 1) if -sum(c / window * math.log2(c / window) for c in Counter(s[i : i + window]).values()) >= least - 1e-9]
+        if hits:
+            out.append((m.start() + hits[0], "entropy", m.start() + hits[-1] + window))
+    return out
+
+
+def test_entropy_spans_against_a_plain_loop(spark, docs):
+    import random
+
+    rng = random.Random(8)
+    alphabet = {"hex": "0123456789abcdef", "alnum": "abcXYZ0123456789qrst", "base64": secrets.KEY}
+    texts = [" ".join("".join(rng.choice(alphabet[k]) for _ in range(rng.randrange(20, 60))) for k in alphabet) for _ in range(60)]
+    texts += ["abcd1" * 9, "é" + "a1b2c3d4" * 8, "a/b/1/2-" * 20, "".join(rng.choice(secrets.KEY) for _ in range(100_000)), "ab/1" * 30_000, "7" * 100_000]
+    rows = secrets.secret_report(docs(list(enumerate(texts)))).collect()
+    for r in rows:
+        found = [(int(s), k, int(e)) for k, s, e in (x.split(":") for x in r["spans"].split(",") if x) if k == "entropy"]
+        assert found == plain_entropy(texts[r["doc_id"]]), texts[r["doc_id"]][:80]
+
+
+def test_overlap_by_search(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    for n in (0, 1, 2, 7, 40):
+        cuts = sorted(rng.sample(range(300), 2 * n))
+        spans = [(a, b) for a, b in zip(cuts[::2], cuts[1::2])]
+        cases = [(a, a + rng.randrange(1, 20)) for a in range(0, 300, 3)]
+        table = spark.createDataFrame([(spans, c) for c in cases], "spans array<struct<low:bigint,high:bigint>>, x struct<low:bigint,high:bigint>")
+        got = [r[0] for r in table.select(pii._overlaps(F.col("spans"), F.col("x"))).collect()]
+        assert got == [any(lo < c[1] and c[0] < hi for lo, hi in spans) for c in cases]
+
+
+def test_likely_spans_lie_apart_and_beside_base_spans(spark, docs):
+    rows = [(i, f"call 555 {i:03d} 4567 or 555-{i:03d}-4567, mail me(at)host{i}(dot)org or +49 30 1234{i:03d}, a{i}@b.org") for i in range(300)] + [(7, "555 007 4567"), (7, "555 007 4567")]
+    got = pii.pii_report(docs(rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        spans = [(int(s), int(e), k) for k, s, e in (x.split(":") for x in r["spans"].split(",") if x)]
+        likely = [x for x in spans if x[2] == "likely"]
+        assert len(likely) == r["n_likely"]
+        for s in likely:
+            assert not any(o is not s and o[0] < s[1] and s[0] < o[1] for o in spans)
 
 
 def test_registered_queries_on_whole_tables(spark):
