@@ -1,14 +1,23 @@
 """Line dedup: exact set-similarity join of lines, later matches removed.
 
 A line is the set of its words. Words are ordered by rarity: their counts over all documents,
-in ``buckets`` hashed counters, are ranked and put in classes, the rarest first, then by hash. Of
-two lines x and y, |y| <= |x|, of Jaccard similarity t = num / den or more, the first
-|x| - ceil(t * |x|) + 1 words of x and the first |y| - ceil(2 t / (1 + t) * |y|) + 1 of y share one
-(prefix filter). Distinct lines are joined on those words and on size bands (length filter; y is
-in the band of x or the one below), and in the join itself pairs pass bounds on their lengths, on
-the shared word's positions (what can still be common after it) and on parity sketches of their
-words (bits that differ are fewer than words that differ). Pairs that pass are verified on the words. A line is removed where an
-earlier line, by document id, text and line number, is similar; lines without words stay.
+in ``buckets`` hashed counters, are ranked and put in classes, the rarest first, then by hash.
+Distinct lines are numbered in the order of their first places (document id, text, line), so of
+two similar lines the one of larger number goes. What is asked for is whether a line has any
+earlier similar one, not all pairs; lines are settled in two turns:
+
+1. Pivots. Lines that share a min-hash of their words, or the second rarest, are held against the first among them:
+   a few pairs for each line, whatever the size of its group. Lines similar to it are settled.
+2. Prefix join. Of two lines x and y, |y| <= |x|, of Jaccard similarity t = num / den or more, at least
+   o = t / (1 + t) * (|x| + |y|) words are common, so the first |x| - o + 1 words of x and the first
+   |y| - o + 1 of y share one (prefix filter). Lines are joined on those words and on size bands (length
+   filter; y is in the band of x or the one below, and its prefix follows from the least size that x
+   has there). In the join itself pairs pass bounds on lengths, on the shared word's
+   positions (what can still be common after it) and on parity sketches (bits that differ are fewer
+   than words that differ), and the later line must not be settled yet; so groups of similar
+   lines don't come as all their pairs.
+
+Pairs of both turns are verified on the words. Lines without words stay.
 
 Only DataFrame functions are used.
 
@@ -25,10 +34,16 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proctrace.llm.common import discard, same_row, stage, text_key
+from proctrace.llm.common import bound, discard, same_row, stage, text_key, unused
 
 MASK = (1 << 56) - 1
 KEY = ["line", "odd", "size"]
+#: Lines of more words have a sketch of 128 bits, the others one of 64.
+WIDE = 48
+#: Any numbers do: each makes another min-hash of the same words.
+SALTS = (0x1E3779B97F4A7C, 0x3C6EF372FE94F8)
+#: Bits beside a word's position: the line isn't settled; the row stands for x; it stands for y.
+LIVE, LARGER, SMALLER = 1 << 31, 1 << 30, 1 << 29
 
 
 def _plain(text: Column) -> Column:
@@ -41,14 +56,14 @@ def _words(line: Column) -> Column:
     return F.array_remove(F.split(line, " "), "")
 
 
-def _classes(text: DataFrame, buckets: int) -> Column:
-    """An array: for each bucket of word hashes the class of its count, as one constant."""
+def _ranks(text: DataFrame, buckets: int) -> Column:
+    """An array: for each bucket of word hashes the class of its count, in the top bits, as one constant."""
     words = text.select(F.explode(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
-    counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int").alias("bucket")).count().collect()  # buckets rows at most
-    classes = [0] * buckets
+    counts = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(buckets - 1)).alias("bucket")).count().collect()  # buckets rows at most
+    ranks = [0] * buckets
     for rank, r in enumerate(sorted(counts, key=lambda r: (r["count"], r["bucket"]))):
-        classes[r["bucket"]] = 120 * rank // len(counts)
-    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<int>")
+        ranks[r["bucket"]] = (120 * rank // len(counts)) << 56
+    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
 
 
 def _sketch(words: Column) -> Column:
@@ -57,79 +72,117 @@ def _sketch(words: Column) -> Column:
     return F.aggregate(words, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x)))
 
 
-def repeated_lines(docs: DataFrame, *, num: int = 4, den: int = 5, buckets: int = 32_768, turns: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_key, no): the lines to remove, by number from 0."""
+def _half(words: Column) -> Column:
+    """Of lines of more than ``WIDE`` words, the parity bits of half of all words; with those of all, this makes 128 bits."""
+    bit = lambda x: F.call_function("shiftleft", F.shiftright(x, 6).bitwiseAND(F.lit(1)), x.bitwiseAND(F.lit(63)).cast("int"))
+    return F.when(F.size(words) > WIDE, F.aggregate(words, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x))))
+
+
+def _least(words: Column, salt: int) -> Column:
+    """A min-hash: the least of the words' hashes, without their classes, after some bits are turned."""
+    return F.array_min(F.transform(words, lambda x: F.shiftleft(x, 8).bitwiseXOR(F.lit(salt << 8))))
+
+
+def repeated_lines(docs: DataFrame, *, num: int = 4, den: int = 5, buckets: int = 32_768, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_key, no): the lines to remove, by number from 0. buckets: a power of two."""
     base = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), _plain(F.col(text_col)).alias("text")).where("text is not null")
-    classes = _classes(base, buckets)
+    ranks = _ranks(base, buckets)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "no").alias("place")
     rows = base.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("no", "text"))
-    hashes = F.transform(_words(F.col("text")), lambda x: F.xxhash64(x))
-    rows = rows.select("doc_id", "text_key", "no", hashes.alias("words")).where("size(words) > 0")
-    ranked = F.transform("words", lambda h: F.shiftleft(F.get(classes, F.pmod(h, F.lit(buckets)).cast("int")).cast("long"), 56) + h.bitwiseAND(F.lit(MASK)))
+    # a test on the words would compute them twice
+    rows = rows.where(F.ltrim("text") != "")
+    ranked = F.transform(_words(F.col("text")), lambda x: F.get(ranks, F.xxhash64(x).bitwiseAND(F.lit(buckets - 1)).cast("int")) + F.xxhash64(x).bitwiseAND(F.lit(MASK)))
     rows = rows.select("doc_id", "text_key", "no", F.sort_array(F.array_distinct(ranked)).alias("words"))
     size = F.size("words")
     prefix = F.slice("words", F.lit(1), size - F.ceil(size * num / den).cast("int") + 1)
-    rows = rows.select("doc_id", "text_key", "no", F.xxhash64("words").alias("line"), size.alias("size"), _sketch(F.col("words")).alias("odd"), prefix.alias("prefix"))
-    lines = stage(rows.select("doc_id", "text_key", "no", "line", "size", "odd", "prefix"), "line-rows")
-
-    first = stage(lines.groupBy(*KEY).agg(F.min(place).alias("place"), F.first("prefix").alias("prefix")), "line-first")
-    whole, lines = lines, stage(lines.drop("prefix"), "line-slim")
+    least = F.array(*[_least(F.col("words"), s) for s in SALTS])
+    rows = rows.select("doc_id", "text_key", "no", F.xxhash64("words").alias("line"), size.alias("size"), _sketch(F.col("words")).alias("odd"), _half(F.col("words")).alias("half"), F.concat(least, prefix).alias("heads"))
+    lines = stage(rows, "line-rows")
+    first = lines.groupBy(*KEY).agg(F.min(place).alias("place"), F.min("half").alias("half"), F.first("heads").alias("heads")).orderBy("place")
+    first = stage(first.select(F.monotonically_increasing_id().alias("id"), *KEY, "half", "place", "heads"), "line-first")
+    whole, lines = lines, stage(lines.drop("heads", "half"), "line-slim")
     discard(whole)
 
-    # narrow rows: word and band are one hash, size and position one number
+    settled = stage(_verified(base, first, _pivot_pairs(first, num, den), num, den), "line-settled")
+    found = stage(_prefix_pairs(first, settled, num, den), "line-pairs")
+    more = stage(_verified(base, first, found, num, den), "line-settled")
+    discard(found)
+    gone = settled.unionByName(more).withColumn("gone", F.lit(True))
+    fate = stage(first.select("id", *KEY, "place").join(gone, "id", "left").select(*KEY, "place", F.coalesce("gone", F.lit(False)).alias("gone")), "line-fate")
+    discard(first, settled, more)
+    return lines.join(fate, KEY).where(F.col("gone") | (place != F.col("place"))).select("doc_id", "text_key", "no").distinct()
+
+
+def _alike(a: str, b: str, size_a: Column, size_b: Column, num: int, den: int) -> Column:
+    """That sizes and sketches (odd and half with these suffixes) allow the similarity."""
+    odd, half = F.col(f"odd{a}").bitwiseXOR(F.col(f"odd{b}")), F.col(f"half{a}").bitwiseXOR(F.col(f"half{b}"))
+    differ = F.coalesce(F.bit_count(half) + F.bit_count(odd.bitwiseXOR(half)), F.bit_count(odd))
+    return (F.least(size_a, size_b) * den >= F.greatest(size_a, size_b) * num) & (differ * (den + num) <= (size_a + size_b) * (den - num))
+
+
+def _pivot_pairs(first: DataFrame, num: int, den: int) -> DataFrame:
+    """(early, late): each line with the first of those that share a min-hash with it."""
+    # the second rarest word is one more key: where lines differ in one rare word, that word comes first
+    heads = F.filter(F.array(*[F.get("heads", F.lit(k)) for k in (*range(len(SALTS)), len(SALTS) + 1)]), lambda x: x.isNotNull())
+    members = first.select("id", "odd", "half", "size", F.posexplode(heads).alias("turn", "least")).select("id", "odd", "half", "size", F.xxhash64("least", "turn").alias("key"))
+    pivots = members.groupBy("key").agg(F.min(F.struct("id", "odd", "half", "size")).alias("p"), F.count("*").alias("n")).where("n > 1")
+    pivots = pivots.select("key", F.col("p.id").alias("early"), F.col("p.odd").alias("odd_p"), F.col("p.half").alias("half_p"), F.col("p.size").alias("size_p"))
+    both = members.join(pivots, "key").where(F.col("id") > F.col("early")).where(_alike("", "_p", F.col("size"), F.col("size_p"), num, den))
+    return both.select("early", F.col("id").alias("late")).distinct()
+
+
+def _prefix_pairs(first: DataFrame, settled: DataFrame, num: int, den: int) -> DataFrame:
+    """(early, late): candidates by prefix words, the late line not settled."""
     step = math.log(den / num * 1.01)
-    band = F.floor(F.log(F.col("size").cast("double")) / step).cast("int")
-    short = F.slice("prefix", F.lit(1), F.col("size") - F.ceil(F.col("size") * (2 * num) / (den + num)).cast("int") + 1)
-    sizes = F.shiftleft(F.col("size").cast("long"), 32)
-    left = first.select("line", "odd", sizes.alias("sizes"), band.alias("band"), F.posexplode("prefix").alias("at", "word"))
-    left = left.select(F.xxhash64("word", "band").alias("key"), F.col("line").alias("line_a"), F.col("odd").alias("odd_a"), (F.col("sizes") + F.col("at")).alias("sat_a"))
-    right = first.select("line", "odd", sizes.alias("sizes"), F.explode(F.array(band, band + 1)).alias("band"), short.alias("prefix"))
-    right = right.select("line", "odd", "sizes", "band", F.posexplode("prefix").alias("at", "word"))
-    right = right.select(F.xxhash64("word", "band").alias("key"), F.col("line").alias("line_b"), F.col("odd").alias("odd_b"), (F.col("sizes") + F.col("at")).alias("sat_b"))
-    size_of = lambda c: F.shiftright(c, 32)
-    place_of = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
-    size_a, size_b = size_of("sat_a"), size_of("sat_b")
-    both = size_a + size_b
-    differ = F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b")))
-    rest = F.least(size_a - place_of("sat_a"), size_b - place_of("sat_b"))
+    starts = F.transform(F.sequence(F.lit(0), F.lit(int(40 / step))), lambda k: F.ceil(F.exp(k * step) - 1e-9))
+    n = F.col("size")
+    band = F.floor(F.log(n.cast("double")) / step + 1e-9).cast("int")
+    # how many of its words stand for a line as y, the smaller one: beside an x of the same size or more, and one of the next band
+    beside = lambda other: F.greatest(F.lit(0), n - F.ceil((n + other) * num / (den + num) - 1e-9).cast("int") + 1)
+    rows = first.join(settled.withColumn("done", F.lit(True)), "id", "left")
+    meta = F.shiftleft(n.cast("long"), 32) + F.when(F.col("done").isNull(), LIVE).otherwise(0)
+    rows = rows.select("id", "odd", "half", meta.alias("meta"), band.alias("band"), beside(n).alias("own"), beside(F.get(starts, band + 1)).alias("next"), F.slice("heads", F.lit(len(SALTS) + 1), F.size("heads") - len(SALTS)).alias("prefix"))
+    roles = F.lit(LARGER) + F.when(F.col("at") < F.col("own"), SMALLER).otherwise(0)
+    every = rows.select("id", "odd", "half", "meta", "band", "own", F.posexplode("prefix").alias("at", "word")).withColumn("meta", F.col("meta") + roles)
+    above = rows.select("id", "odd", "half", (F.col("meta") + SMALLER).alias("meta"), (F.col("band") + 1).alias("band"), F.posexplode(F.slice("prefix", F.lit(1), F.col("next"))).alias("at", "word"))
+    # narrow rows: size, roles and position are one number; both sides of the join are one shuffle
+    key = F.xxhash64("word", "band").bitwiseAND(F.lit((1 << 40) - 1)).alias("key")
+    narrow = lambda df: df.select(key, "id", "odd", "half", (F.col("meta") + F.col("at")).alias("meta"))
+    index = narrow(every).unionByName(narrow(above))
+    side = lambda s: index.select(*[F.col(c).alias(f"{c}_{s}") for c in index.columns])
+    left, right = side("a"), side("b")
+    has = lambda s, bit: F.col(f"meta_{s}").bitwiseAND(F.lit(bit))
+    size_a, size_b = F.shiftright("meta_a", 32), F.shiftright("meta_b", 32)
+    at = lambda s: F.col(f"meta_{s}").bitwiseAND(F.lit(SMALLER - 1))
+    rest = F.least(size_a - at("a"), size_b - at("b"))
+    ahead = F.col("id_a") < F.col("id_b")
     hope = (
-        ((size_b < size_a) | ((size_b == size_a) & (F.col("line_a") < F.col("line_b"))))
-        & (size_b * den >= size_a * num)
-        & (differ * (den + num) <= both * (den - num))
-        & (rest * (den + num) >= both * num)
+        ((size_b < size_a) | ((size_b == size_a) & ahead))
+        & (has("a", LARGER) + has("b", SMALLER) == LARGER + SMALLER)  # in one test, so that both sides keep all rows and share their shuffle
+        & (F.when(ahead, has("b", LIVE)).otherwise(has("a", LIVE)) != 0)
+        & _alike("_a", "_b", size_a, size_b, num, den)
+        & (rest * (den + num) >= (size_a + size_b) * num)
     )
-    # in turns by key: the shuffle files of one turn go before the next
-    pairs = None
-    for turn in range(turns):
-        of_turn = F.pmod("key", F.lit(turns)) == turn
-        l, r = left.where(of_turn), right.where(of_turn)  # noqa: E741
-        found = l.join(r.hint("shuffle_hash"), (l["key"] == r["key"]) & hope)
-        found = found.select(*[c for s, n in (("a", size_a), ("b", size_b)) for c in (f"line_{s}", f"odd_{s}", n.cast("int").alias(f"size_{s}"))])
-        found = stage(found.distinct(), "line-pairs")
-        pairs = found if pairs is None else pairs.unionByName(found)
-    pairs = pairs.distinct()
-    similar = _verified(base, first, pairs, num, den)
-
-    later = F.greatest("place_a", "place_b")
-    gone = stage(similar.select(*[F.when(later == F.col("place_a"), F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(c) for c in KEY]).distinct().withColumn("gone", F.lit(True)), "line-gone")
-    fate = stage(first.join(gone, KEY, "left").select(*KEY, "place", F.coalesce("gone", F.lit(False)).alias("gone")), "line-fate")
-    return lines.join(fate, KEY).where(F.col("gone") | (place != F.col("place"))).select("doc_id", "text_key", "no").distinct()
+    both = left.join(right.hint("shuffle_hash"), (F.col("key_a") == F.col("key_b")) & hope)
+    return both.select(F.least("id_a", "id_b").alias("early"), F.greatest("id_a", "id_b").alias("late")).distinct()
 
 
 def _verified(base: DataFrame, first: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs that are similar by their words, with the places of both lines."""
-    sides = [pairs.select(*[F.col(f"{c}_{s}").alias(c) for c in KEY]) for s in "ab"]
-    wanted = first.join(sides[0].unionByName(sides[1]).distinct(), KEY).select(*KEY, "place")
-    wanted = wanted.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.text_key").alias("text_key")).agg(F.collect_list(F.struct(*KEY, "place")).alias("lines"))
-    wanted = stage(wanted, "line-wanted")
-    held = base.join(wanted, same_row(base, wanted)).select(F.split("text", "\n").alias("all"), "lines", wanted["doc_id"], wanted["text_key"]).dropDuplicates(["doc_id", "text_key"])
-    picked = F.transform("lines", lambda x: F.struct(*[x[c].alias(c) for c in KEY], x["place"].alias("place"), F.array_distinct(_words(F.get("all", x["place"]["no"]))).alias("words")))
-    words = stage(held.select(F.explode(picked).alias("x")).select("x.*"), "line-words")
-    a = words.select(*[F.col(c).alias(f"{c}_a") for c in (*KEY, "place", "words")])
-    b = words.select(*[F.col(c).alias(f"{c}_b") for c in (*KEY, "place", "words")])
-    common = F.size(F.array_intersect("words_a", "words_b"))
-    matched = pairs.join(a, [f"{c}_a" for c in KEY]).join(b, [f"{c}_b" for c in KEY])
-    return matched.where(common * (den + num) >= (F.size("words_a") + F.size("words_b")) * num)
+    """The ids of late lines that are similar by their words to one they are paired with."""
+    pairs = stage(pairs, "line-pairs")
+    ids = pairs.select(F.explode(F.array("early", "late")).alias("id")).distinct()
+    wanted = first.select("id", "place").join(ids, "id")
+    wanted = wanted.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.text_key").alias("text_key")).agg(F.collect_list(F.struct("id", "place.no")).alias("lines"))
+    held = base.join(wanted, same_row(base, wanted)).select(F.split("text", "\n").alias("all"), "lines", wanted["doc_id"], wanted["text_key"])
+    held = held.select(F.explode("lines").alias("x"), "all").select("x.id", F.get("all", F.col("x.no")).alias("line"))
+    # rows repeated in the table give a line several times
+    words = stage(held.select("id", F.array_distinct(_words(F.col("line"))).alias("words")).dropDuplicates(["id"]), "line-words")
+    sides = [words.select(F.col("id").alias(c), F.col("words").alias(f"{c}_words")) for c in ("early", "late")]
+    common = F.size(F.array_intersect("early_words", "late_words"))
+    matched = pairs.join(sides[0], "early").join(sides[1], "late").where(common * (den + num) >= (F.size("early_words") + F.size("late_words")) * num)
+    out = stage(matched.select(F.col("late").alias("id")).distinct(), "line-late")
+    discard(pairs, words)
+    return out
 
 
 def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -145,12 +198,13 @@ def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = True, **options) -> DataFrame:
     """The documents without repeated lines, other columns as they were; those that lose all their words go, if asked."""
     gone = repeated_lines(docs, id_col=id_col, text_col=text_col, **options)
-    gone = stage(gone.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_list("no").alias("__nos")), "line-removed")
-    both = docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]) & (text_key(docs[text_col]) == gone["__key"]), "left")
-    both = both.withColumn("__lines", F.split(text_col, "\n"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__nos"))
-    left = F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n")
-    out = both.withColumn("__new", F.when(F.col("__nos").isNull(), F.col(text_col)).otherwise(left))
+    own_id, own_key, nos, new = unused(docs, "own_id", "own_key", "gone_nos", "new_text")
+    gone = stage(gone.groupBy(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key)).agg(F.collect_list("no").alias(nos)), "line-removed")
+    both = docs.join(gone, docs[id_col].eqNullSafe(gone[own_id]) & (text_key(docs[text_col]) == gone[own_key]), "left")
+    lines = F.split(text_col, "\n")
+    stay = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(nos))
+    left = bound(lines, lambda x: F.array_join(F.transform(stay(x), lambda i: F.get(x, i)), "\n"))
+    out = both.withColumn(new, F.when(F.col(nos).isNull(), F.col(text_col)).otherwise(left))
     if drop_emptied:
-        out = out.where(F.col("__nos").isNull() | F.col("__new").rlike(r"[^\x20\x09-\x0D]"))
-    return out.select(*[F.col("__new").alias(c) if c == text_col else docs[c] for c in docs.columns])
+        out = out.where(F.col(nos).isNull() | F.col(new).rlike(r"[^\x20\x09-\x0D]"))
+    return out.select(*[F.col(new).alias(c) if c == text_col else docs[c] for c in docs.columns])

@@ -46,12 +46,43 @@ def test_against_all_pairs(spark, docs):
     assert got(docs(rows)) == plain(rows)
 
 
+def test_variants_of_one_template_stay_few_pairs(spark, docs):
+    """Any two variants are similar (9 of 11 words), yet pairs grow with the lines, not their square."""
+    words = "the quick brown fox jumps over one lazy"
+    rows = [(i, f"{words} dog{i} x\nother{i} line{i}") for i in range(2000)]
+    found = {r["doc_id"]: r["removed"] for r in lines.line_report(docs(rows)).collect()}
+    assert found == {0: "", **{i: "0" for i in range(1, 2000)}}
+    made = []
+    for n in (500, 2000):
+        base = docs(rows[:n]).select("doc_id", "text", "text_key")
+        seen = {}
+        real = lines._verified
+        lines._verified = lambda b, f, pairs, *a: (seen.setdefault("n", []).append(pairs.count()), real(b, f, pairs, *a))[1]
+        try:
+            lines.repeated_lines(base).count()
+        finally:
+            lines._verified = real
+        made.append(sum(seen["n"]))
+    assert made[1] <= 6 * made[0] + 4000
+
+
+def test_long_and_hot_lines(spark, docs):
+    rng = random.Random(9)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(30_000))
+    near = long.replace("w1", "v1", 1500)
+    rows = [(1, long), (2, near), (3, long + " more"), (4, None)] + [(10 + i, "\n".join(["the same line here"] * 50 + [f"the {i} b c"])) for i in range(60)]
+    assert got(docs(rows)) == plain(rows)
+
+
 def test_documents_without_repeats(spark, docs):
     table = docs([(1, "a b c d e\nonly here now"), (2, "a b c d e"), (3, "x\n\na b c d e f\ny z"), (4, None), (5, "")])
     kept = lines.without_repeats(table)
     assert kept.columns == table.columns
     assert {r["doc_id"]: r["text"] for r in kept.collect()} == {1: "a b c d e\nonly here now", 3: "x\n\ny z", 4: None, 5: ""}
     assert lines.line_report(docs([])).count() == 0
+    named = table.withColumnsRenamed({"text_key": "own_id", "size": "gone_nos", "lang": "__lines"})
+    kept = lines.without_repeats(named)
+    assert kept.columns == named.columns and kept.count() == 4
 
 
 def test_registered_query(spark):
