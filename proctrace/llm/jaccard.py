@@ -35,14 +35,16 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from proctrace.llm.bytes import binaries, mix, word_hashes
-from proctrace.llm.common import SPACE_WORD, discard, same_row, stage, text_key
+from proctrace.llm.common import SPACE_WORD, discard, same_row, stage, text_key, unused
 from proctrace.llm.components import components
 
-SKETCH = 4  # words of 64 bits
+SKETCH = 16  # words of 64 bits
 
 
 class Band(NamedTuple):
@@ -99,11 +101,15 @@ def allocate(starts: list[int], counts: dict[int, int], num: int, den: int, chan
     return bands
 
 
-def signatures(s: np.ndarray, starts: list[int], bands: list[Band], num: int, den: int) -> np.ndarray:
-    """What a set is indexed by, in its own band and in those of larger sets it may be similar to."""
+def signatures(s: np.ndarray, starts: list[int], bands: list[Band], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a set is indexed by, in its own band and in those of larger sets it may be similar to, with tags.
+
+    A tag is the number of the list (band and partition), how many of the list's most common
+    signatures of whole segments may be left out, and whether this is one of a whole segment.
+    """
     if not len(s):
-        return s
-    out = []
+        return s, np.zeros(0, np.int32)
+    out, tags = [], []
     own, far = bisect_right(starts, len(s)) - 1, bisect_right(starts, len(s) * den // num) - 1
     for b in range(own, far + 1):
         _, m, d, spare = bands[b]
@@ -119,17 +125,21 @@ def signatures(s: np.ndarray, starts: list[int], bands: list[Band], num: int, de
             sums[full] = np.add.reduceat(element[order], np.concatenate(([0], np.cumsum(counts[full])[:-1])))
             tag = mix(np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt)
             use = np.arange(m) if turn == 2 else full
+            # what is left out: empty segments, and of those with deletions the ones of one element too
+            lost = (m - len(full)) + 2 * int((counts[:d] == 1).sum()) + int((counts[:d] == 0).sum())
+            label = (b * 3 + turn) << 8 | min(127, max(0, spare - lost)) << 1
             out.append(mix(sums[use] + tag[use]))
+            tags.append(label | (use >= d).astype(np.int32))
             if d:
                 near = segment < np.uint64(d)
                 if turn < 2:  # what a deletion empties is an empty segment
                     near &= counts[segment.astype(np.int64)] > 1
                 at = segment[near].astype(np.int64)
                 out.append(mix(sums[at] - element[near] + tag[at]))
-            # what is left out: empty segments, and of those with deletions the ones of one element too
-            if (m - len(full)) + 2 * int((counts[:d] == 1).sum()) + int((counts[:d] == 0).sum()) <= spare:
+                tags.append(np.full(len(at), label, np.int32))
+            if lost <= spare:
                 break
-    return np.unique(np.concatenate(out))
+    return np.concatenate(out), np.concatenate(tags).astype(np.int32)
 
 
 def sketch(s: np.ndarray) -> list[int]:
@@ -137,10 +147,6 @@ def sketch(s: np.ndarray) -> list[int]:
     return [int(x) for x in np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)]
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
 def jaccard_classes(docs: DataFrame, *, n: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id), a row per document; similarity num / den."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("text_key"))
@@ -154,80 +160,105 @@ def jaccard_classes(docs: DataFrame, *, n: int = 3, num: int = 9, den: int = 10,
         by_band[b] = by_band.get(b, 0) + r["n"]
     bands = allocate(starts, by_band, num, den)
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows = {"n_shingles": [], "node": [], "node2": [], "sigs": [], "sketch": []}
-                for text in binaries(part["text"]):
-                    s = shingles(text, n)
-                    total = int(mix(s).sum(dtype=np.uint64)) if len(s) else 0
-                    second = int(mix(s ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)) if len(s) else 0
-                    node = mix(np.array([total, second], np.uint64) + np.uint64(len(s))).view(np.int64)
-                    rows["n_shingles"].append(len(s))
-                    rows["node"].append(int(node[0]))
-                    rows["node2"].append(int(node[1]))
-                    rows["sigs"].append(_signed(signatures(s, starts, bands, num, den)))
-                    rows["sketch"].append(sketch(s))
-                yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], part["text_key"], pa.array(rows["n_shingles"], pa.int64()), pa.array(rows["node"], pa.int64()), pa.array(rows["node2"], pa.int64()), pa.array(rows["sigs"], pa.list_(pa.int64())), pa.array(rows["sketch"], pa.list_(pa.int64()))],
-                    names=["doc_id", "text_key", "n_shingles", "node", "node2", "sigs", "sketch"],
-                )
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            rows = []
+            for text in binaries(part["text"]):
+                s = shingles(text, n)
+                total = int(mix(s).sum(dtype=np.uint64)) if len(s) else 0
+                second = int(mix(s ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)) if len(s) else 0
+                rows.append((len(s), *mix(np.array([total, second], np.uint64) + np.uint64(len(s))).view(np.int64).tolist()))
+            yield pa.RecordBatch.from_arrays([part["doc_id"], part["text_key"], *[pa.array(c, pa.int64()) for c in zip(*rows)]], names=["doc_id", "text_key", "n_shingles", "node", "node2"])
 
     id_type = base.schema["doc_id"].dataType.simpleString()
-    sets = stage(base.mapInArrow(index, f"doc_id {id_type}, text_key long, n_shingles long, node long, node2 long, sigs array<long>, sketch array<long>"), "jac-sets")
+    sets = stage(base.mapInArrow(describe, f"doc_id {id_type}, text_key long, n_shingles long, node long, node2 long"), "jac-rows")
     lead = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    nodes = stage(sets.where("n_shingles > 0").groupBy("node", "node2", "n_shingles").agg(F.min(lead).alias("lead"), F.min("doc_id").alias("least"), F.first("sigs").alias("sigs"), F.first("sketch").alias("sketch")), "jac-nodes")
-    whole, sets = sets, stage(sets.select("doc_id", "text_key", "n_shingles", "node"), "jac-rows")
-    discard(whole)
-    links = _links(base, nodes, n, num, den)
+    nodes = stage(sets.where("n_shingles > 0").groupBy("node", "node2", "n_shingles").agg(F.min(lead).alias("lead"), F.min("doc_id").alias("least")), "jac-nodes")
+    leads = nodes.select("node", F.col("lead.doc_id").alias("doc_id"), F.col("lead.text_key").alias("text_key"))
+    # each distinct set once; rows that the table repeats come in pairs of the same id and text
+    texts = stage(base.join(leads, same_row(base, leads)).select("node", "text").dropDuplicates(["node"]), "jac-texts")
+    links = _links(texts, starts, bands, n, num, den)
+    discard(texts)
     roots = components(links)
     named = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     class_id = stage(named.groupBy("root").agg(F.min("least").alias("class_id")), "jac-class")
-    member = stage(stage(named, "jac-named").join(class_id, "root").select("node", "class_id"), "jac-member")
+    member = stage(named.join(class_id, "root").select("node", "class_id"), "jac-member")
+    discard(nodes, class_id)
     rows = sets.select("doc_id", "text_key", "n_shingles", "node")
     out = rows.join(member, "node", "left")
     return out.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("class_id")).alias("component_id"))
 
 
-def _links(base: DataFrame, nodes: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(a, b): verified links that join all nodes of a class."""
-    index = nodes.select("node", F.explode("sigs").alias("sig"))
-    shared = stage(index.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot < other").drop("other"), "jac-shared")
-    members = stage(index.join(shared, "sig"), "jac-members")
+def _parts(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of batches with texts of about most bytes."""
+    for batch in batches:
+        at, held = 0, 0
+        for i, size in enumerate(pc.binary_length(batch["text"]).fill_null(0).to_pylist()):
+            held += size
+            if held >= most or i + 1 == batch.num_rows:
+                yield batch.slice(at, i + 1 - at)
+                at, held = i + 1, 0
+
+
+def _members(texts: DataFrame, starts: list[int], bands: list[Band], n: int, num: int, den: int) -> DataFrame:
+    """(sig, node): signatures that several sets share and none can leave out."""
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches, 1 << 18):
+            found = [signatures(shingles(t, n), starts, bands, num, den) for t in binaries(part["text"])]
+            node = np.repeat(part["node"].to_numpy(), [len(x) for x, _ in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in found]).view(np.int64)), pa.array(node), pa.array(np.concatenate([t for _, t in found]))], names=["sig", "node", "tag"])
+
+    rows = texts.mapInArrow(index, "sig long, node long, tag int")
+    every = W.partitionBy("sig")
+    rows = rows.withColumn("n", F.count("*").over(every)).withColumn("low", F.min("node").over(every)).withColumn("high", F.max("node").over(every))
+    shared = stage(rows.where("low < high").select("sig", "node", "tag", "n"), "jac-shared")
+    # the most common ones that each list can do without
+    whole = F.col("tag") % 2 == 1
+    slack = F.shiftright("tag", 1).bitwiseAND(F.lit(127))
+    order = W.partitionBy("node", F.shiftright("tag", 8)).orderBy(F.desc(whole), F.desc("n"), F.desc("sig"))
+    kept = stage(shared.withColumn("no", F.row_number().over(order)).where(~whole | (F.col("no") > slack)).select("sig", "node"), "jac-kept")
     discard(shared)
-    pairs = stage(members.where("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n_sigs")), "jac-pairs")
-    sizes = nodes.select("node", F.col("n_shingles").alias("size"), "sketch")
-    hopeful = stage(_bounded(pairs, sizes, num, den), "jac-hopeful")
+    return kept
 
+
+def _links(texts: DataFrame, starts: list[int], bands: list[Band], n: int, num: int, den: int) -> DataFrame:
+    """(a, b): verified links that join all nodes of a class."""
+    kept = _members(texts, starts, bands, n, num, den)
+    pivots = kept.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot < other").drop("other")
+    members = stage(kept.join(pivots, "sig"), "jac-members")
+    discard(kept)
     involved = stage(members.select("node").distinct(), "jac-involved")
-    leads = nodes.join(involved, "node", "left_semi").select("node", F.col("lead.doc_id").alias("doc_id"), F.col("lead.text_key").alias("text_key"))
-    texts = base.join(leads, same_row(base, leads)).select(leads["node"], "text").dropDuplicates(["node"])
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part["node"], pa.array([shingles(t, n).tobytes() for t in binaries(part["text"])], pa.binary())], names=["node", "elements"])
-
-    sets = stage(texts.mapInArrow(elements, "node long, elements binary"), "jac-elements")
+        for part in _parts(batches):
+            found = [shingles(t, n) for t in binaries(part["text"])]
+            yield pa.RecordBatch.from_arrays([part["node"], pa.array([len(s) for s in found], pa.int64()), pa.array([sketch(s) for s in found], pa.list_(pa.int64())), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "size", "sketch", "elements"])
+
+    sets = stage(texts.join(involved, "node", "left_semi").mapInArrow(elements, "node long, size long, sketch array<long>, elements binary"), "jac-elements")
+    discard(involved)
+    sizes = sets.select("node", "size", "sketch")
+    pairs = members.where("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n_sigs"))
+    hopeful = stage(_bounded(pairs, sizes, num, den), "jac-hopeful")
     # a node's likeliest partner first: near copies are mostly settled by that
     best = hopeful.groupBy("b").agg(F.max_by("a", F.struct("n_sigs", "a")).alias("a")).select("a", "b")
     links = stage(_verified(best, sets, num, den), "jac-links")
-    roots = stage(components(links), "jac-roots")
-    rest = _unlike(hopeful.select("a", "b"), roots)
-    links = links.unionByName(stage(_verified(rest, sets, num, den), "jac-links"))
+    roots = components(links)
+    links = stage(links.unionByName(_verified(_unlike(hopeful.select("a", "b"), roots), sets, num, den)), "jac-links")
+    discard(hopeful)
 
     # what shares a signature and is still of different classes
-    roots = stage(components(links), "jac-roots")
+    roots = components(links)
     tagged = members.join(roots, "node", "left").select("sig", "node", "pivot", F.coalesce("root", "node").alias("root"))
-    tagged = stage(tagged.join(sizes, "node"), "jac-tagged")
-    mixed = stage(tagged.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high and n > 2").select("sig"), "jac-mixed")
-    tagged = stage(tagged.join(mixed, "sig", "left_semi"), "jac-open")
+    mixed = tagged.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high and n > 2").select("sig")
+    tagged = stage(tagged.join(mixed, "sig").join(sizes, "node"), "jac-open")
+    discard(members)
     left = tagged.select("sig", F.col("node").alias("a"), F.col("pivot"), F.col("root").alias("ra"), F.col("size").alias("sa"), F.col("sketch").alias("ka"))
     right = tagged.select("sig", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"), F.col("sketch").alias("kb"))
     cross = left.join(right, "sig").where("a < b and ra <> rb and a <> pivot").where(_hope(num, den)).select("a", "b").distinct()
-    return stage(links.unionByName(_verified(cross, sets, num, den)), "jac-links")
+    links = stage(links.unionByName(_verified(cross, sets, num, den)), "jac-links")
+    discard(tagged, sets)
+    return links
 
 
 def _hope(num: int, den: int):
@@ -271,5 +302,6 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     lead = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("text_key").alias("text_key"))
     many = found.where("n_shingles > 0 and component_id is not null").groupBy("component_id").agg(F.min(lead).alias("lead"), F.count("*").alias("n")).where("n > 1")
     gone = stage(found.where("n_shingles > 0"), "jac-live").join(stage(many, "jac-many"), "component_id").where(~(F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("text_key") == F.col("lead.text_key"))))
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]) & (text_key(docs[text_col]) == gone["__key"]), "left_anti")
+    own_id, own_key = unused(docs, "own_id", "own_key")
+    gone = gone.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key)).distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(gone[own_id]) & (text_key(docs[text_col]) == gone[own_key]), "left_anti")
