@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,27 +27,18 @@ def nms(det: DataFrame, iou: float = 0.45) -> DataFrame:
     sides = ("x1", "y1", "x2", "y2")
     box = F.struct((-F.col("confidence")).alias("order"), "box_no", "confidence", *[F.col(c).cast("double").alias(c) for c in sides])
     grouped = det.groupBy("frame_id", "class_id").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
+    area = lambda b: (b["x2"] - b["x1"]) * (b["y2"] - b["y1"])
+    shared = lambda a, b, lo, hi: F.greatest(F.lit(0.0), F.least(a[hi], b[hi]) - F.greatest(a[lo], b[lo]))
 
-    def kept(boxes: list) -> list[int]:
-        b = np.array([[x[c] for c in sides] for x in boxes])
-        area = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
-        alive, out = np.ones(len(b), bool), []
-        for i in range(len(b)):
-            if alive[i]:
-                out.append(i)
-                w = np.clip(np.minimum(b[i, 2], b[:, 2]) - np.maximum(b[i, 0], b[:, 0]), 0, None)
-                h = np.clip(np.minimum(b[i, 3], b[:, 3]) - np.maximum(b[i, 1], b[:, 1]), 0, None)
-                alive &= w * h <= iou * (area[i] + area - w * h)
-        return [int(boxes[i]["box_no"]) for i in out]
+    def overlap(a: Column, b: Column) -> Column:
+        common = shared(a, b, "x1", "x2") * shared(a, b, "y1", "y2")
+        return common > iou * (area(a) + area(b) - common)
 
-    @F.pandas_udf("array<int>")
-    def choose(groups: pd.Series) -> pd.Series:
-        return pd.Series([kept(g) for g in groups])
-
-    few = F.size("boxes") == 1
-    single = grouped.where(few).select("frame_id", "class_id", F.col("boxes")[0]["box_no"].alias("box_no"))
-    many = grouped.where(~few).select("frame_id", "class_id", F.explode(choose("boxes")).alias("box_no"))
-    return single.unionByName(many)
+    none = F.filter("boxes", lambda _: F.lit(False))
+    keep = lambda kept, b: F.when(F.exists(kept, lambda a: overlap(a, b)), kept).otherwise(F.array_append(kept, b))
+    # most frames have a box or a few of a class
+    chosen = F.when(F.size("boxes") == 1, F.col("boxes")).otherwise(F.aggregate("boxes", none, keep))
+    return grouped.select("frame_id", "class_id", F.explode(chosen).alias("box")).select("frame_id", "class_id", "box.box_no")
 
 
 def bending_per_frame(named: DataFrame) -> DataFrame:
@@ -77,8 +66,8 @@ def stains(contours: DataFrame, min_area: float = 100.0) -> DataFrame:
 
 
 def bubbles(circles: Column) -> Column:
-    """circles: array of (x, y, radius) -> count, detected and the circles rounded."""
-    whole = F.transform(circles, lambda c: F.struct(*[F.round(c[k]).cast("int").alias(k) for k in ("x", "y", "radius")]))
+    """circles: array of (x, y, radius) -> count, detected and the circles rounded, halves to the even number."""
+    whole = F.transform(circles, lambda c: F.struct(*[F.bround(c[k]).cast("int").alias(k) for k in ("x", "y", "radius")]))
     return F.struct(F.size(circles).alias("bubble_count"), (F.size(circles) > 0).alias("detected"), whole.alias("circles"))
 
 
@@ -99,7 +88,8 @@ def bubble_label(n: Column) -> Column:
 
 
 def infer_distinct(frames: DataFrame, content: str, stage) -> DataFrame:
-    """Runs stage, a DataFrame function of (digest, content), once for each distinct content; all frames get its result."""
+    """Runs stage, a DataFrame function of (digest, content), once for each distinct content, null included; all frames get its result."""
     keyed = frames.withColumn("digest", F.sha2(F.col(content), 256))
     once = stage(keyed.select("digest", content).dropDuplicates(["digest"]))
-    return keyed.join(once, "digest")
+    once = once.withColumnRenamed("digest", "__digest")
+    return keyed.join(once, F.col("digest").eqNullSafe(F.col("__digest")), "left").drop("__digest")

@@ -13,20 +13,23 @@ from pyspark.sql import functions as F
 ORDER = ("ts", "frame_id")
 
 
-def numbered(df: DataFrame, keys: list[str], name: str, order: tuple[str, ...] = ORDER, when: Column | None = None) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], name: str | None = None, order: tuple[str, ...] = ORDER, when: Column | None = None, **more: Column | None) -> DataFrame:
     """Adds the 1-based number of each row within its keys, in order; of rows where ``when`` holds, if given.
 
-    Rows are numbered within the hour, and hours get offsets from their counts, so a busy key
-    is as many window groups as it has hours.
+    more: further numbers, each by name with its condition, from the same pass. Rows are numbered
+    within the hour, and hours get offsets from their counts, so a busy key is as many window
+    groups as it has hours; the counts need the keys, the time and the conditions only.
     """
-    n = F.lit(1).cast("long") if when is None else F.when(when, 1).otherwise(0).cast("long")
+    wanted = ({name: when} if name else {}) | more
+    n = {k: F.lit(1).cast("long") if c is None else F.when(c, 1).otherwise(0).cast("long") for k, c in wanted.items()}
     hourly = df.withColumn("__hour", F.date_trunc("hour", order[0]))
-    upto = F.sum(n).over(W.partitionBy(*keys, "__hour").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    before = F.sum("__n").over(W.partitionBy(*keys).orderBy("__hour").rowsBetween(W.unboundedPreceding, -1))
-    offsets = hourly.groupBy(*keys, "__hour").agg(F.sum(n).alias("__n")).withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
-    out = hourly.withColumn(name, upto).join(offsets, [*keys, "__hour"])
-    value = F.col(name) + F.col("__before")
-    return out.withColumn(name, value if when is None else F.when(when, value)).drop("__hour", "__before")
+    upto = W.partitionBy(*keys, "__hour").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy(*keys).orderBy("__hour").rowsBetween(W.unboundedPreceding, -1)
+    offsets = hourly.groupBy(*keys, "__hour").agg(*[F.sum(c).alias(f"__n_{k}") for k, c in n.items()])
+    offsets = offsets.select(*keys, "__hour", *[F.coalesce(F.sum(f"__n_{k}").over(before), F.lit(0)).alias(f"__before_{k}") for k in n])
+    out = hourly.withColumns({k: F.sum(c).over(upto) for k, c in n.items()}).join(offsets, [*keys, "__hour"])
+    value = {k: F.col(k) + F.col(f"__before_{k}") for k in n}
+    return out.withColumns({k: v if wanted[k] is None else F.when(wanted[k], v) for k, v in value.items()}).drop("__hour", *[f"__before_{k}" for k in n])
 
 
 def detect_center_box(frames: DataFrame) -> DataFrame:
@@ -82,7 +85,7 @@ def throttle(frames: DataFrame, seconds: float) -> DataFrame:
 
 def assign_segments(frames: DataFrame, length: int) -> DataFrame:
     """Frames with their raw and processed segment and place in it, from 0; processed ones only where the pipeline succeeded."""
-    both = numbered(numbered(frames, ["client_id"], "raw_no"), ["client_id"], "ok_no", when=F.col("pipeline_ok"))
+    both = numbered(frames, ["client_id"], raw_no=None, ok_no=F.col("pipeline_ok"))
     part = lambda c: F.floor((F.col(c) - 1) / length).cast("long")
     place = lambda c: ((F.col(c) - 1) % length).cast("int")
     return both.select("*", part("raw_no").alias("raw_segment"), place("raw_no").alias("raw_pos"), part("ok_no").alias("ok_segment"), place("ok_no").alias("ok_pos")).drop("raw_no", "ok_no")
@@ -110,10 +113,17 @@ def segments(attached: DataFrame, length: int) -> DataFrame:
 
 
 def keypoint_frames(attached: DataFrame, length: int) -> DataFrame:
-    """The stored record of each frame of a complete processed segment."""
+    """The stored record of each frame of a complete processed segment, with the segment's id, task and start.
+
+    Windows hold one segment each, so nothing is joined back.
+    """
     ok = numbered(attached.where("pipeline_ok"), ["client_id"], "no").withColumn("segment_no", F.floor((F.col("no") - 1) / length).cast("long")).withColumn("pos", ((F.col("no") - 1) % length).cast("int"))
-    index = segments(attached, length).where("kind = 'processed'").select("client_id", "segment_no", "task_id", F.unix_micros("start_ts").alias("segment_start_us"))
-    return ok.drop("task_id", "no").join(index, ["client_id", "segment_no"])
+    chunk = W.partitionBy("client_id", "segment_no")
+    whole = chunk.orderBy(*ORDER).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    last = F.last(F.struct("task_id", "frame_id")).over(whole)
+    ok = ok.withColumn("__last", last).withColumn("__first", F.first("ts").over(whole)).withColumn("__n", F.count("*").over(chunk)).where(F.col("__n") == length)
+    ok = ok.withColumn("task_id", F.col("__last.task_id")).withColumn("segment_id", F.col("__last.frame_id") * 2 + 1).withColumn("segment_start_us", F.unix_micros("__first"))
+    return ok.drop("no", "__last", "__first", "__n")
 
 
 def recent(frames: DataFrame, n: int) -> DataFrame:
@@ -129,15 +139,19 @@ def latest(frames: DataFrame) -> DataFrame:
     return best.select("client_id", "x.*")
 
 
-def running_bending(attached: DataFrame) -> DataFrame:
-    """attached: processed frames with task_id and bent -> the counter as the bending stage stores it, and after both stages.
+def running_bending(attached: DataFrame, failed: bool = False) -> DataFrame:
+    """attached: frames with task_id and bent -> the counter as the bending stage stores it, and after both stages.
 
-    The motion stage counts every frame of a task, after the bending stage has stored its result.
+    The motion stage counts every processed frame of a task, after the bending stage has stored
+    its result. failed: keep frames whose pipeline failed, with no counts. One pass: frames
+    without a task, which count nothing, are dealt by frame.
     """
-    order = W.partitionBy("task_id").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, 0)
-    bent = F.sum(F.col("bent").cast("long")).over(order)
-    motion = F.count("*").over(order)
-    rows = attached.where("pipeline_ok")
-    with_task = rows.where("task_id is not null").withColumn("stored_count", motion - 1 + bent).withColumn("after_count", motion + bent)
     none = F.lit(0).cast("long")
-    return with_task.unionByName(rows.where("task_id is null").withColumn("stored_count", none).withColumn("after_count", none))
+    idle = F.col("task_id").isNull()
+    rows = attached if failed else attached.where("pipeline_ok")
+    order = W.partitionBy("task_id", F.when(idle, F.col("frame_id"))).orderBy(*ORDER).rowsBetween(W.unboundedPreceding, 0)
+    bent = F.sum(F.when(F.col("pipeline_ok") & F.col("bent"), 1).otherwise(0).cast("long")).over(order)
+    motion = F.sum(F.when(F.col("pipeline_ok"), 1).otherwise(0).cast("long")).over(order)
+    rows = rows.withColumn("__motion", motion).withColumn("__bent", bent)
+    count = lambda c: F.when(F.col("pipeline_ok"), F.when(idle, none).otherwise(c))
+    return rows.withColumn("stored_count", count(F.col("__motion") - 1 + F.col("__bent"))).withColumn("after_count", count(F.col("__motion") + F.col("__bent"))).drop("__motion", "__bent")

@@ -20,7 +20,9 @@ def lookup(df: DataFrame, **equal) -> DataFrame:
 
 
 def with_kind(segments: DataFrame) -> DataFrame:
-    return segments.withColumn("kind", F.when(F.contains("segment_path", F.lit("raw_segment")), "raw").otherwise("processed"))
+    """raw or processed by the path; null where it names neither."""
+    names = lambda k: F.contains("segment_path", F.lit(f"{k}_segment"))
+    return segments.withColumn("kind", F.when(names("raw"), "raw").when(names("processed"), "processed"))
 
 
 def file_name(path: Column) -> Column:
@@ -76,9 +78,8 @@ def segment_keypoints(segments: DataFrame, keypoints: DataFrame, task_id: int, s
     return keypoints.join(one, ["client_id", "segment_start_us"]).orderBy("pos")
 
 
-def all_keypoints(segments: DataFrame, keypoints: DataFrame) -> DataFrame:
+def all_keypoints(keypoints: DataFrame) -> DataFrame:
     """All records of every task, segments by start, with each task's number of frames."""
-    index = segments.where("kind = 'processed' and task_id is not null").select("client_id", F.col("task_id").alias("of_task"), F.unix_micros("start_ts").alias("segment_start_us"), F.col("id").alias("segment_id"))
-    rows = keypoints.join(index, ["client_id", "segment_start_us"])
-    order = W.partitionBy("of_task").orderBy("segment_start_us", "segment_id", "pos")
-    return rows.withColumn("frame_no", F.row_number().over(order)).withColumn("total_frames", F.count("*").over(W.partitionBy("of_task")))
+    rows = keypoints.where("task_id is not null")
+    order = W.partitionBy("task_id").orderBy("segment_start_us", "segment_id", "pos")
+    return rows.withColumn("frame_no", F.row_number().over(order)).withColumn("total_frames", F.count("*").over(W.partitionBy("task_id")))

@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from proctrace.functions.scalars import percent
-from proctrace.operators.frames import numbered
 
 
 def queue_status(frames: DataFrame, clients: DataFrame, length: int = 150, live: int = 30, as_of: Column | None = None) -> DataFrame:
@@ -57,14 +56,15 @@ def task_summary(results: DataFrame) -> DataFrame:
 def stage_health(results: DataFrame, stages: list[str]) -> DataFrame:
     """results: a struct with success and error for each stage -> counts for each stage and error."""
     one = F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.col(f"{s}.success").alias("success"), F.col(f"{s}.error").alias("error")) for s in stages]))
-    return results.select(one.alias("x")).select("x.*").groupBy("stage").agg(F.count_if("success").alias("n_success"), F.count_if(~F.col("success")).alias("n_error"), F.max("error").alias("error"))
+    return results.select(one.alias("x")).select("x.*").groupBy("stage", "error").agg(F.count_if("success").alias("n_success"), F.count_if(~F.col("success")).alias("n_error"))
 
 
 def progress(log: DataFrame, every: int = 30) -> DataFrame:
     """Every n-th sent frame of a client: counts and rate so far."""
     order = W.partitionBy("client_id").orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, 0)
-    sent = log.where("outcome <> 'encode_error'").withColumn("ok", F.count_if(F.col("outcome") == "success").over(order)).withColumn("bad", F.count_if(F.col("outcome") == "error").over(order)).withColumn("began", F.min("ts").over(order))
-    rows = numbered(sent.withColumnRenamed("seq", "frame_id"), ["client_id"], "frames_sent").where(F.col("frames_sent") % every == 0)
+    sent = log.where("outcome <> 'encode_error'")
+    seen = {"ok": F.count_if(F.col("outcome") == "success"), "bad": F.count_if(F.col("outcome") == "error"), "began": F.min("ts"), "frames_sent": F.count("*")}
+    rows = sent.withColumns({k: c.over(order) for k, c in seen.items()}).where(F.col("frames_sent") % every == 0)
     elapsed = (F.unix_micros("ts") - F.unix_micros("began")) / 1e6
     return rows.select("client_id", "frames_sent", F.col("ok").alias("frames_success"), F.col("bad").alias("frames_error"), F.when(elapsed > 0, F.col("frames_sent") / elapsed).otherwise(0.0).alias("fps"))
 

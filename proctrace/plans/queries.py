@@ -203,12 +203,13 @@ def stain_filter(spark, d):
     return detections.stains(src.events(spark, d).select("client_id", F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("frame_no"), F.col("value").alias("area")))
 
 
-@query("bubble_summary", "SELECT frame_id, k % 4 AS bubble_count, k % 4 > 0 AS detected, CASE WHEN k % 4 > 0 THEN CAST(floor(value + 0.5) AS INTEGER) END AS first_x, CASE WHEN k % 4 > 0 THEN k END AS first_radius FROM e")
+# halves occur among the coordinates, so the rounding shows
+@query("bubble_summary", "SELECT frame_id, k % 4 AS bubble_count, k % 4 > 0 AS detected, CASE WHEN k % 4 > 0 THEN CAST(round_even(floor(value * 2) / 2, 0) AS INTEGER) END AS first_x, CASE WHEN k % 4 > 0 THEN CAST(round_even(k + 0.5::DOUBLE, 0) AS INTEGER) END AS first_radius, CASE WHEN k % 4 > 0 THEN CAST(round_even(k % 4 + 0.5::DOUBLE, 0) AS INTEGER) END AS last_y FROM e")
 def bubble_summary(spark, d):
-    circle = lambda i: F.struct(F.floor(F.col("value") + 0.5).cast("double").alias("x"), i.cast("double").alias("y"), F.col("k").cast("double").alias("radius"))
+    circle = lambda i: F.struct((F.floor(F.col("value") * 2) / 2).alias("x"), (i + 0.5).cast("double").alias("y"), (F.col("k") + 0.5).cast("double").alias("radius"))
     circles = F.when(F.col("k") % 4 > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.col("k") % 4, F.lit(1))), circle)).otherwise(F.array().cast("array<struct<x:double,y:double,radius:double>>"))
     rows = src.events(spark, d).select("frame_id", detections.bubbles(circles).alias("b"))
-    return rows.select("frame_id", "b.bubble_count", "b.detected", F.get("b.circles", F.lit(0))["x"].alias("first_x"), F.get("b.circles", F.lit(0))["radius"].alias("first_radius"))
+    return rows.select("frame_id", "b.bubble_count", "b.detected", F.get("b.circles", F.lit(0))["x"].alias("first_x"), F.get("b.circles", F.lit(0))["radius"].alias("first_radius"), F.get("b.circles", F.size("b.circles") - 1)["y"].alias("last_y"))
 
 
 @query("status_labels", """, s AS (SELECT c.client_id, c.frame_id, c.task_id, c.after_count, r.bent, r.bubble_count, greatest(0, 100 - 5 * r.bubble_count)::DOUBLE AS s FROM counts c JOIN results r ON c.client_id = r.client_id AND c.frame_id = r.frame_id)
@@ -229,14 +230,14 @@ def task_point_lookup(spark, d):
 
 @query("segments_null_filter", "SELECT id, kind, keypoints_path IS NOT NULL AS has_keypoints FROM segs")
 def segments_null_filter(spark, d):
-    s = segs(spark, d)
-    with_kp, without = s.where(F.col("keypoints_path").isNotNull()), s.where(F.col("keypoints_path").isNull())
-    return with_kp.select("id", "kind", F.lit(True).alias("has_keypoints")).unionByName(without.select("id", "kind", F.lit(False).alias("has_keypoints")))
+    return segs(spark, d).select("id", "kind", F.col("keypoints_path").isNotNull().alias("has_keypoints"))
 
 
-@query("segment_kind", "SELECT id, CASE WHEN contains(segment_path, 'raw_segment') THEN 'raw' ELSE 'processed' END AS kind FROM segs")
+# some paths name neither kind
+@query("segment_kind", "SELECT id, CASE WHEN segment_no % 3 = 0 THEN NULL WHEN contains(segment_path, 'raw_segment') THEN 'raw' WHEN contains(segment_path, 'processed_segment') THEN 'processed' END AS kind FROM segs")
 def segment_kind(spark, d):
-    return history.with_kind(segs(spark, d).drop("kind")).select("id", "kind")
+    path = F.when(F.col("segment_no") % 3 == 0, F.replace("segment_path", F.lit("_segment_"), F.lit("_other_"))).otherwise(F.col("segment_path"))
+    return history.with_kind(segs(spark, d).drop("kind").withColumn("segment_path", path)).select("id", "kind")
 
 
 @query("frame_task_asof", "SELECT client_id, frame_id, task_id FROM attached")
@@ -249,9 +250,10 @@ def segment_keypoints_join(spark, d):
     return history.segments_with_keypoints(segs(spark, d), records(spark, d)).select("id", "kind", "keypoints_path", "n_records")
 
 
-@query("result_cache", "SELECT doc_id, sha256(encode(text)) AS digest, strlen(text) AS n_bytes FROM documents")
+# frames without content are kept
+@query("result_cache", "SELECT doc_id, sha256(encode(t)) AS digest, strlen(t) AS n_bytes FROM (SELECT doc_id, CASE WHEN doc_id % 10 <> 0 THEN text END AS t FROM documents)")
 def result_cache(spark, d):
-    docs = src.load(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    docs = src.load(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 10 != 0, F.col("text")).cast("binary").alias("content"))
     return detections.infer_distinct(docs, "content", lambda x: x.select("digest", F.octet_length("content").cast("long").alias("n_bytes"))).select("doc_id", "digest", "n_bytes")
 
 
@@ -291,13 +293,12 @@ def processing_rate(spark, d):
 
 @query("task_summary", "SELECT a.task_id, count(*) AS total_frames, count(*) FILTER (a.pipeline_ok) AS frames_with_result, max(c.stored_count) AS max_bending, round(avg(c.stored_count), 2) AS mean_bending FROM attached a LEFT JOIN counts c ON a.client_id = c.client_id AND a.frame_id = c.frame_id WHERE a.task_id IS NOT NULL GROUP BY 1")
 def task_summary(spark, d):
-    r = results(spark, d)
-    done = frames.running_bending(r).select("task_id", F.lit(True).alias("has_result"), F.col("stored_count").alias("bending_count"))
-    failed = r.where(~F.col("pipeline_ok")).select("task_id", F.lit(False).alias("has_result"), F.lit(None).cast("long").alias("bending_count"))
-    return quality.task_summary(done.unionByName(failed))
+    counted = frames.running_bending(results(spark, d), failed=True)
+    return quality.task_summary(counted.select("task_id", F.col("pipeline_ok").alias("has_result"), F.col("stored_count").alias("bending_count")))
 
 
-@query("stage_failure_counts", "SELECT 'motion' AS stage, count(*) FILTER (task_id IS NOT NULL AND pipeline_ok) AS n_success, count(*) FILTER (NOT (task_id IS NOT NULL AND pipeline_ok)) AS n_error, max(CASE WHEN NOT (task_id IS NOT NULL AND pipeline_ok) THEN 'Missing task or keypoints' END) AS error FROM attached UNION ALL SELECT 'detection', count(*) FILTER (pipeline_ok), count(*) FILTER (NOT pipeline_ok), max(CASE WHEN NOT pipeline_ok THEN 'pipeline failed' END) FROM attached")
+@query("stage_failure_counts", """, m AS (SELECT 'motion' AS stage, task_id IS NOT NULL AND pipeline_ok AS ok, CASE WHEN NOT (task_id IS NOT NULL AND pipeline_ok) THEN 'Missing task or keypoints' END AS error FROM attached UNION ALL SELECT 'detection', pipeline_ok, CASE WHEN NOT pipeline_ok THEN 'pipeline failed' END FROM attached)
+SELECT stage, error, count(*) FILTER (ok) AS n_success, count(*) FILTER (NOT ok) AS n_error FROM m GROUP BY 1, 2""")
 def stage_failure_counts(spark, d):
     found = F.struct(F.col("pipeline_ok").alias("success"), F.when(~F.col("pipeline_ok"), "pipeline failed").alias("error"))
     return quality.stage_health(_motion(spark, d).withColumn("detection", found), ["motion", "detection"])
@@ -405,4 +406,4 @@ def segment_keypoints(spark, d):
 @query("all_keypoints", """, a AS (SELECT k.*, s.id AS segment_id FROM kp k JOIN segs s ON s.kind = 'processed' AND s.client_id = k.client_id AND epoch_us(s.start_ts) = k.segment_start_us WHERE s.task_id IS NOT NULL)
 SELECT task_id, segment_id, frame_id, pos, row_number() OVER (PARTITION BY task_id ORDER BY segment_start_us, segment_id, pos) AS frame_no, count(*) OVER (PARTITION BY task_id) AS total_frames, x, y FROM a""")
 def all_keypoints(spark, d):
-    return history.all_keypoints(segs(spark, d), records(spark, d)).select(F.col("of_task").alias("task_id"), "segment_id", "frame_id", "pos", "frame_no", "total_frames", "x", "y")
+    return history.all_keypoints(records(spark, d)).select("task_id", "segment_id", "frame_id", "pos", "frame_no", "total_frames", "x", "y")
