@@ -134,17 +134,17 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2_500, longest: int = 65_536, **options) -> Model:
-    marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__toxic"))
-    marks = marks.where(~held_out(F.col("__id")))
-    share = marks.agg(F.avg("__toxic")).first()[0]
+    marks = labels.select(F.col(id_col).alias("own_id"), F.col(label_col).alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("own_id").isNotNull())
+    marks = marks.groupBy("own_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("own_id")))
+    share = marks.agg(F.avg("toxic")).first()[0]
     chosen = None
     for label in (1, 0):
-        one = marks.where(F.col("__toxic") == label).orderBy(F.xxhash64("__id"), "__id").limit(per_class)
+        one = marks.where(F.col("toxic") == label).orderBy(F.xxhash64("own_id"), "own_id").limit(per_class)
         chosen = one if chosen is None else chosen.unionByName(one)
-    texts = docs.where(F.octet_length(text_col) <= longest).join(F.broadcast(chosen), docs[id_col] == F.col("__id"))  # 2 * per_class ids at most
-    rows = texts.select("__id", "__toxic", F.col(text_col).alias("__text")).dropDuplicates(["__id"]).collect()  # per_class texts of each class
-    rows.sort(key=lambda r: (hash_order(r["__id"]), r["__id"]))
-    return Model([r["__text"] for r in rows if r["__toxic"] == 1], [r["__text"] for r in rows if r["__toxic"] == 0], float(share or 0.0), **options)
+    texts = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= longest)
+    rows = texts.join(F.broadcast(chosen), "own_id").dropDuplicates(["own_id"]).collect()  # per_class texts of each class
+    rows.sort(key=lambda r: (hash_order(r["own_id"]), r["own_id"]))
+    return Model([r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0], float(share or 0.0), **options)
 
 
 def hash_order(doc_id) -> int:
@@ -160,8 +160,8 @@ def score_texts(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_c
         for texts in batches:
             yield pd.Series([model.score(t or "") for t in texts], dtype="float64")
 
-    out = docs.withColumn("__score", scored(F.col(text_col)))
-    return out.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"), *keep)
+    out = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), scored(F.col(text_col)).alias("score"), *keep)
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *keep)
 
 
 def without_toxic(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:

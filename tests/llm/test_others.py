@@ -158,16 +158,34 @@ def test_toxicity(spark, docs):
     label = np.array([r["toxic"] for r in rows])
     rank = np.argsort(np.argsort(score))
     auc = (rank[label == 1].mean() - (label.sum() - 1) / 2) / (len(label) - label.sum())
-    assert auc >= 0.75 and (score[label == 0] >= 0.5).mean() <= 0.05
+    assert auc >= 0.85 and (score[label == 0] >= 0.5).mean() <= 0.05, (auc, (score[label == 0] >= 0.5).mean(), (score[label == 1] >= 0.5).mean(), label.sum())
     assert all(r["predicted"] == int(r["score"] >= 0.5) for r in rows)
 
 
+def test_window_lengths_by_hand():
+    """Features come from plain compressed lengths of all windows under both dictionaries."""
+    import zstandard
+
+    model = toxicity.Model([f"you vile rotten thing number{i} vile" for i in range(60)], [f"a calm note about item{i} today" for i in range(60)], 0.5)
+    text = "you vile rotten thing\nand a calm note about nothing"
+    words = text.encode().split()
+    sizes = []
+    for content in model.contents:
+        made = zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+        sizes.append([len(made.compress(b" " + b" ".join(words[i : i + model.words]) + b" ")) for i in range(0, len(words), model.words)])
+    saved = [o - t for t, o in zip(*sizes)]
+    found = model.features(text)
+    assert found[0] == max(saved) and math.isclose(found[4], sum(saved) / len(saved)) and math.isclose(found[5], math.log1p(len(saved)))
+
+
 def test_toxicity_edges(spark, docs):
     labels = spark.createDataFrame([(1, 0), (2, None), (None, 1)], "doc_id long, toxic int")
     table = docs([(1, None), (2, ""), (None, "x"), (3, "word " * 50_000)])
     for l in (labels, labels.where("false")):  # noqa: E741
         got = toxicity.score_texts(table, toxicity.fit(table, l)).collect()
         assert len(got) == 4 and {r["score"] for r in got} == {0.0} and {r["doc_id"]: r["held_out"] for r in got}[None] is False
+    clash = table.withColumnsRenamed({"size": "__id", "lang": "own_id", "source": "score"})
+    assert toxicity.score_texts(clash, toxicity.fit(clash, labels)).count() == 4
     model = toxicity.Model(["bad word here"] * 3, ["good word here"] * 3, 0.5)
     assert toxicity.score_texts(docs([]), model).count() == 0
     assert all(0 <= r["score"] <= 1 for r in toxicity.score_texts(table, model).collect())
