@@ -36,6 +36,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -231,20 +232,21 @@ def _links(texts: DataFrame, starts: list[int], bands: list[Band], n: int, num:
     involved = stage(members.select("node").distinct(), "jac-involved")
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
         for part in _parts(batches):
             found = [shingles(t, n) for t in binaries(part["text"])]
-            yield pa.RecordBatch.from_arrays([part["node"], pa.array([len(s) for s in found], pa.int64()), pa.array([sketch(s) for s in found], pa.list_(pa.int64())), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "size", "sketch", "elements"])
+            yield pa.RecordBatch.from_arrays([part["node"], pa.array([len(s) for s in found], pa.int64()), pa.array([sketch(s) for s in found], pa.list_(pa.int64())), pa.array(map(pack, binaries(part["text"])), pa.binary())], names=["node", "size", "sketch", "packed"])
 
-    sets = stage(texts.join(involved, "node", "left_semi").mapInArrow(elements, "node long, size long, sketch array<long>, elements binary"), "jac-elements")
+    sets = stage(texts.join(involved, "node", "left_semi").mapInArrow(elements, "node long, size long, sketch array<long>, packed binary"), "jac-elements")
     discard(involved)
     sizes = sets.select("node", "size", "sketch")
     pairs = members.where("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n_sigs"))
     hopeful = stage(_bounded(pairs, sizes, num, den), "jac-hopeful")
     # a node's likeliest partner first: near copies are mostly settled by that
     best = hopeful.groupBy("b").agg(F.max_by("a", F.struct("n_sigs", "a")).alias("a")).select("a", "b")
-    links = stage(_verified(best, sets, num, den), "jac-links")
+    links = stage(_verified(best, sets, n, num, den), "jac-links")
     roots = components(links)
-    links = stage(links.unionByName(_verified(_unlike(hopeful.select("a", "b"), roots), sets, num, den)), "jac-links")
+    links = stage(links.unionByName(_verified(_unlike(hopeful.select("a", "b"), roots), sets, n, num, den)), "jac-links")
     discard(hopeful)
 
     # what shares a signature and is still of different classes
@@ -256,7 +258,7 @@ def _links(texts: DataFrame, starts: list[int], bands: list[Band], n: int, num:
     left = tagged.select("sig", F.col("node").alias("a"), F.col("pivot"), F.col("root").alias("ra"), F.col("size").alias("sa"), F.col("sketch").alias("ka"))
     right = tagged.select("sig", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"), F.col("sketch").alias("kb"))
     cross = left.join(right, "sig").where("a < b and ra <> rb and a <> pivot").where(_hope(num, den)).select("a", "b").distinct()
-    links = stage(links.unionByName(_verified(cross, sets, num, den)), "jac-links")
+    links = stage(links.unionByName(_verified(cross, sets, n, num, den)), "jac-links")
     discard(tagged, sets)
     return links
 
@@ -281,19 +283,22 @@ def _unlike(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return out.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Pairs whose whole sets are similar. Texts travel compressed: a third of the size of their hashed shingles."""
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             keep = []
-            for x, y in zip(binaries(batch["ea"]), binaries(batch["eb"])):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(binaries(batch["pa"]), binaries(batch["pb"])):
+                x, y = shingles(unpack(x), n), shingles(unpack(y), n)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(den * common >= num * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
-    right = sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ea", "eb").mapInArrow(verify, "a long, b long")
+    left = sets.select(F.col("node").alias("a"), F.col("packed").alias("pa"))
+    right = sets.select(F.col("node").alias("b"), F.col("packed").alias("pb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(verify, "a long, b long")
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
