@@ -22,6 +22,11 @@ def truncated(x: Column) -> Column:
     return F.when(x >= 0, F.floor(x)).otherwise(F.ceil(x)).cast("int")
 
 
+def normalize_boxes(det: DataFrame, corners: str = "box") -> DataFrame:
+    """Adds ``bbox``, the corners (an array of numbers) cut to whole pixels toward zero."""
+    return det.withColumn("bbox", F.transform(corners, truncated))
+
+
 def nms(det: DataFrame, iou: float = 0.45) -> DataFrame:
     """Greedy overlap suppression by confidence within frame and class; ties go to the smaller box number."""
     sides = ("x1", "y1", "x2", "y2")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +24,18 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("client_id"), F.col("modificationTime").alias("ts"), "path", "content")
 
 
-def read_table(spark: SparkSession, name: str, root: str | None = None, jdbc_opts: dict[str, str] | None = None) -> DataFrame:
-    """A stored table: over JDBC if options are given, else Parquet under root."""
+def read_table(spark: SparkSession, name: str, root: str | None = None, jdbc_opts: dict[str, str] | None = None, split: tuple[str, int, int, int] | None = None) -> DataFrame:
+    """A stored table: over JDBC if options are given, else Parquet under root.
+
+    split: column, lower and upper bound and number of tasks for a read over JDBC; rows beyond
+    the bounds are read by the first and last task. Without it one task reads the table.
+    """
     if jdbc_opts:
-        return spark.read.format("jdbc").options(dbtable=name, **jdbc_opts).load()
+        reader = spark.read.format("jdbc").options(dbtable=name, **jdbc_opts)
+        if split:
+            column, low, high, parts = split
+            reader = reader.options(partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=parts)
+        return reader.load()
     return spark.read.parquet(f"{root}/{name}")
 
 
@@ -49,3 +59,8 @@ def read_keypoints(spark: SparkSession, root: str) -> DataFrame:
 def append_segments(batch: DataFrame, root: str, batch_id: int) -> None:
     """Index rows of one micro-batch; a repeated batch replaces itself, so rows are all there or none, once."""
     batch.write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
+
+
+def segment_sink(root: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch of a stream of index rows."""
+    return lambda batch, batch_id: append_segments(batch, root, batch_id)

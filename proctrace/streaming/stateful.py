@@ -6,7 +6,9 @@ rules. A row with ``removed`` true clears its client's state, as a client's leav
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,7 +16,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 SEGMENT_SCHEMA = "client_id string, segment_no bigint, kind string, start_us bigint, end_us bigint, task_id bigint, n_frames bigint"
 THROTTLE_SCHEMA = "client_id string, frame_id bigint, us bigint"
-LATEST_SCHEMA = "client_id string, frames string"
+ASSIGNED_SCHEMA = "client_id string, frame_id bigint, raw_segment bigint, raw_pos int, ok_segment bigint, ok_pos int"
+LATEST_SCHEMA = "client_id string, no int, frame_id bigint, us bigint, result string"
+FEED_SCHEMA = "client_id string, us bigint, message string"
 COUNT_SCHEMA = "client_id string, frame_id bigint, task_id bigint, stored_count bigint, after_count bigint"
 STATUS_SCHEMA = "client_id string, task_id bigint, status string, updated_us bigint"
 
@@ -29,19 +33,25 @@ class _Client(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", self.state_schema)
 
+    def load(self) -> tuple:
+        return tuple(self.state.get()) if self.state.exists() else self.empty
+
+    def save(self, now: tuple) -> None:
+        if now == self.empty:
+            self.state.clear()
+        else:
+            self.state.update(now)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        now, out = tuple(self.state.get()) if self.state.exists() else self.empty, []
+        now, out = self.load(), []
         for row in batch.itertuples(index=False):
             if getattr(row, "removed", False):
                 now = self.empty
             else:
                 now = self.fold(key[0], now, row, out)
         out = self.finish(key[0], now, out)
-        if now == self.empty:
-            self.state.clear()
-        else:
-            self.state.update(now)
+        self.save(now)
         if out:
             yield pd.DataFrame(out, columns=self.columns)
 
@@ -97,23 +107,54 @@ class Throttle(_Client):
         return True, int(row.us)
 
 
+class SegmentFrames(_Client):
+    """Each frame at once with its raw and processed segment and place in it; state is two counts."""
+
+    state_schema = "raw bigint, ok bigint"
+    empty = (0, 0)
+    columns = [c.split()[0] for c in ASSIGNED_SCHEMA.split(", ")]
+
+    def __init__(self, length: int):
+        self.length = length
+
+    def fold(self, client, now, row, out):
+        raw, ok = now
+        place = divmod(ok, self.length) if row.pipeline_ok else (None, None)
+        out.append((client, row.frame_id, *divmod(raw, self.length), *place))
+        return raw + 1, ok + int(row.pipeline_ok)
+
+
 class Latest(_Client):
-    """The newest n processed frames, oldest first, as their ids."""
+    """The newest n processed frames with their results, newest first, after each batch; state is their list.
+
+    Rows have ``result`` as text (JSON). For output mode update.
+    """
 
-    state_schema = "frames string"
-    empty = ("",)
+    state_schema = "frame_id bigint, us bigint, result string"
     columns = [c.split()[0] for c in LATEST_SCHEMA.split(", ")]
 
     def __init__(self, n: int):
         self.n = n
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getListState("newest", self.state_schema)
+
+    def load(self) -> tuple:
+        return tuple(tuple(x) for x in self.state.get())
+
+    def save(self, now: tuple) -> None:
+        if now:
+            self.state.put(list(now))
+        else:
+            self.state.clear()
+
     def fold(self, client, now, row, out):
         if not row.pipeline_ok:
             return now
-        return (",".join([*[x for x in now[0].split(",") if x], str(row.frame_id)][-self.n :]),)
+        return (*now, (int(row.frame_id), int(row.us), row.result))[-self.n :]
 
     def finish(self, client, now, out):
-        return [(client, now[0])] if now != self.empty else []
+        return [(client, no, *x) for no, x in enumerate(reversed(now), 1)]
 
 
 class RunningCounts(_Client):
@@ -155,6 +196,42 @@ class TaskStatus(_Client):
         return now
 
 
+class StatusFeed(_Client):
+    """The status message of each tick: of the client's current task, or that there is none.
+
+    Rows are commands (turn 0, ``kind`` is the command), running counts (turn 1, kind count) and
+    ticks (turn 2, kind tick), as one stream; turns order rows of the same time.
+    """
+
+    state_schema = "task_id bigint, status string, updated_us bigint, counted bigint, bending bigint"
+    empty = (-1, "", 0, -1, 0)
+    order = ["us", "turn"]
+    columns = [c.split()[0] for c in FEED_SCHEMA.split(", ")]
+
+    def fold(self, client, now, row, out):
+        task, status, at, counted, bending = now
+        named = _task(row.task_id)
+        if row.kind == "tick":
+            out.append((client, row.us, self.message(now)))
+        elif row.kind == "count":
+            if named is not None:
+                counted, bending = named, int(row.after_count)
+        elif row.kind == "initialize":
+            task, status, at = named, "initialized", int(row.us)
+        elif named is not None and named == task:
+            task, status, at = (task, "running", int(row.us)) if row.kind == "start" else self.empty[:3]
+        return task, status, at, counted, bending
+
+    @staticmethod
+    def message(now: tuple) -> str:
+        task, status, at, counted, bending = now
+        if task < 0:
+            return '{"status":"no_active_task"}'
+        updated = datetime.fromtimestamp(at // 1_000_000, UTC).strftime("%Y-%m-%dT%H:%M:%S")
+        fields = {"task_id": task, "status": status, "cleaning_stage": "0", "bending_count": bending if counted == task else 0, "bubble_detected": False, "fully_submerged": False, "updated_at": updated}
+        return json.dumps(fields, separators=(",", ":"))
+
+
 def stateful(rows: DataFrame, processor: StatefulProcessor, schema: str, key: str = "client_id", mode: str = "append") -> DataFrame:
     """rows: a stream with the key, ``us`` (ts in microseconds) and the processor's columns. Needs the RocksDB state store."""
     return rows.groupBy(key).transformWithStateInPandas(processor, outputStructType=schema, outputMode=mode, timeMode="None")

@@ -6,7 +6,7 @@ from proctrace.operators import frames as ops
 from proctrace.operators import tasks
 from proctrace.plans import queries as q
 from proctrace.sources import driver_tables as src
-from proctrace.sources.tables import append_segments, read_frames, read_keypoints, read_table, write_keypoints
+from proctrace.sources.tables import append_segments, read_frames, read_keypoints, read_table, segment_sink, write_keypoints
 from proctrace.streaming import stateful as st
 
 D = "/root/testdata/sf0.001"
@@ -50,14 +50,65 @@ def test_stream_segments_and_throttle_equal_batch(rocks, tmp_path):
     assert sorted(got) == sorted(map(tuple, batch))
 
 
+def test_stream_frames_with_segments_equal_batch(rocks, tmp_path):
+    got = drain(st.stateful(stream(rocks, rows(rocks), tmp_path / "in"), st.SegmentFrames(10), st.ASSIGNED_SCHEMA), tmp_path)
+    batch = ops.assign_segments(src.frames(rocks, D), 10).select("client_id", "frame_id", "raw_segment", "raw_pos", "ok_segment", "ok_pos").collect()
+    assert sorted(got, key=str) == sorted(map(tuple, batch), key=str)
+
+
 def test_stream_latest_and_eviction(rocks, tmp_path):
-    base = rows(rocks).withColumn("removed", F.lit(False))
-    end = base.groupBy("client_id").agg(F.max("us").alias("us")).where("client_id < 'camera_00005'")
-    gone = end.select("client_id", F.lit(0).cast("long").alias("frame_id"), (F.col("us") + 1).alias("us"), F.lit(False).alias("pipeline_ok"), F.lit(None).cast("long").alias("task_id"), F.lit(False).alias("bent"), F.lit(True).alias("removed"))
-    got = drain(st.stateful(stream(rocks, base.unionByName(gone), tmp_path / "in", 2), st.Latest(5), st.LATEST_SCHEMA, mode="update"), tmp_path, "update")
-    last = {c: f for c, f in got if c >= "camera_00005"}
-    batch = ops.recent(src.frames(rocks, D), 5).where("client_id >= 'camera_00005'").groupBy("client_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("no"), F.col("frame_id")))), lambda x: x["frame_id"].cast("string")), ",").alias("f"))
-    assert last == {r["client_id"]: r["f"] for r in batch.collect()}
+    """Results of the newest frames; what a client had before it left doesn't come back."""
+    base = rows(rocks).withColumn("result", F.to_json(F.struct("bent"))).withColumn("removed", F.lit(False))
+    left = base.groupBy("client_id").agg(F.expr("percentile_disc(0.97) within group (order by us)").alias("us")).where("client_id < 'camera_00005'")
+    gone = left.select("client_id", F.lit(1 << 60).alias("frame_id"), "us", F.lit(False).alias("pipeline_ok"), F.lit(True).alias("removed"))
+    got = drain(st.stateful(stream(rocks, base.unionByName(gone, allowMissingColumns=True), tmp_path / "in", 2), st.Latest(5), st.LATEST_SCHEMA, mode="update"), tmp_path, "update")
+    last: dict = {}
+    for client, no, *frame in got:
+        last[client] = [*([] if no == 1 else last[client]), tuple(frame)]
+    after = base.join(left.withColumnRenamed("us", "left_us"), "client_id", "left").where("left_us is null or us > left_us").withColumn("ts", F.col("us"))
+    expected: dict = {}
+    for r in ops.recent(after, 5).orderBy("client_id", "no").collect():
+        expected.setdefault(r["client_id"], []).append((r["frame_id"], r["us"], r["result"]))
+    silent = set(last) - set(expected)  # those that left and have no processed frame since
+    assert silent < {r["client_id"] for r in left.collect()} and {c: x for c, x in last.items() if c not in silent} == expected
+    assert any(len(x) < 5 for x in expected.values())
+
+
+def test_stream_status_feed_equals_batch(rocks, tmp_path):
+    commands, frames = src.commands(rocks, D), q.results(rocks, D)
+    counts = ops.running_bending(frames).select("client_id", "ts", "task_id", "after_count")
+    ticks = src.frames(rocks, D).select("client_id", "ts")
+    none = F.lit(None).cast("long")
+    at = ["client_id", F.unix_micros("ts").alias("us")]
+    rows = commands.select(*at, F.lit(0).alias("turn"), F.col("command").alias("kind"), "task_id", none.alias("after_count"))
+    rows = rows.unionByName(counts.select(*at, F.lit(1).alias("turn"), F.lit("count").alias("kind"), "task_id", "after_count"))
+    rows = rows.unionByName(ticks.select(*at, F.lit(2).alias("turn"), F.lit("tick").alias("kind"), none.alias("task_id"), none.alias("after_count")))
+    got = drain(st.stateful(stream(rocks, rows, tmp_path / "in", 2, ("us", "turn")), st.StatusFeed(), st.FEED_SCHEMA), tmp_path)
+    batch = tasks.status_feed(ticks, commands, counts).select("client_id", F.unix_micros("ts"), "message").collect()
+    assert sorted(got) == sorted(map(tuple, batch)) and len({m for *_, m in got}) > 10
+
+
+def test_segment_sink_of_a_stream_that_fails_once(rocks, tmp_path):
+    """A batch that fails after its rows were written is repeated on restart, and its rows are there once."""
+    live = stream(rocks, rows(rocks), tmp_path / "in")
+    write, failed = segment_sink(str(tmp_path / "index")), []
+
+    def once(batch, batch_id):
+        write(batch, batch_id)
+        if batch_id == 1 and not failed:
+            failed.append(batch_id)
+            raise RuntimeError("lost")
+
+    for attempt in range(2):
+        query = st.stateful(live, st.Segments(10), st.SEGMENT_SCHEMA).writeStream.option("checkpointLocation", str(tmp_path / "state")).foreachBatch(once).trigger(availableNow=True).start()
+        if attempt:
+            query.awaitTermination(240)
+        else:
+            with pytest.raises(Exception, match="lost"):
+                query.awaitTermination(240)
+    back = rocks.read.parquet(str(tmp_path / "index")).select("client_id", "segment_no", "kind", "task_id").collect()
+    batch = q.segs(rocks, D).select("client_id", "segment_no", "kind", "task_id").collect()
+    assert failed == [1] and sorted(map(str, back)) == sorted(map(str, batch))
 
 
 def test_stream_running_counts_equal_batch(rocks, tmp_path):
@@ -111,3 +162,34 @@ def test_stage_registry(spark):
         assert x["detection"]["success"] is not bad and x["grade"]["success"] is not bad
         assert x["grade"]["score"] == (None if bad else 100.0 - 5 * (x["frame_id"] % 5))
     assert r.enable("off") and len(r.ordered()) == 3 and r.unregister("off") and not r.unregister("off")
+
+
+def test_column_stages(spark):
+    """Bubbles and cleanliness stay in the JVM; a batch stage may need them, and what isn't there is missing."""
+    from proctrace.operators.stages import Registry, Stage, bubble_stage, cleanliness_stage
+
+    circle = "array<struct<x:double,y:double,radius:double>>"
+    frames = spark.createDataFrame([(0, []), (1, [(0.5, 1.5, 2.5)] * 3), (2, None)], f"frame_id long, circles {circle}")
+    r = Registry()
+    r.register(cleanliness_stage())
+    r.register(Stage("label", "text string", lambda b, _: [{"text": f"{c['grade']} {o}"} for c, o in zip(b["cleanliness"], b["other"])], requires=["cleanliness", "other"]))
+    r.register(bubble_stage())
+    assert [s.name for s in r.ordered()] == ["bubble_detection", "cleanliness", "label"]
+    got = {x["frame_id"]: x for x in r.run(frames).collect()}
+    assert [got[i]["cleanliness"]["score"] for i in range(3)] == [100.0, 85.0, 100.0]
+    assert [got[i]["label"]["text"] for i in range(3)] == ["Excellent None", "Good None", "Excellent None"]
+    assert [tuple(got[i]["bubble_detection"])[:3] for i in range(3)] == [(True, None, 0), (True, None, 3), (False, "no circles", None)]
+    assert tuple(got[1]["bubble_detection"]["circles"][0]) == (0, 2, 2)
+    assert r.enable("bubble_detection", False)
+    assert [x["cleanliness"]["score"] for x in r.run(frames).collect()] == [100.0] * 3
+
+
+def test_normalized_boxes_and_jdbc(spark):
+    from proctrace.operators.detections import normalize_boxes
+
+    boxes = spark.createDataFrame([(1, [-1.7, 2.9, 3.0, 4.2]), (2, [])], "id long, box array<double>")
+    assert [r["bbox"] for r in normalize_boxes(boxes).orderBy("id").collect()] == [[-1, 2, 3, 4], []]
+    opts = {"url": "jdbc:derby:memory:stored;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.range(100).selectExpr("id as task_id", "id % 3 as status").write.format("jdbc").options(dbtable="clean_task", **opts).save()
+    back = read_table(spark, "clean_task", jdbc_opts=opts, split=("task_id", 20, 60, 4))
+    assert back.rdd.getNumPartitions() == 4 and sorted(map(tuple, back.collect())) == [(i, i % 3) for i in range(100)]
