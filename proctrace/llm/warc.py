@@ -12,7 +12,11 @@ Defined cases: a null payload counts as empty; a null url has no target header;
 stays null and never becomes the kept one unless all ids of that payload are null, when all
 are responses; repeated rows each give a record, and all rows with the kept id are responses;
 an empty table gives an empty archive. Columns other than id, url and payload are ignored.
-A record that fails verification is returned with its ``problem`` and null payload figures.
+A record that fails verification is returned with its ``problem`` and null payload figures: broken
+framing, another digest or none, no end of the HTTP head, a revisit without a length, segments that
+don't fit. Bytes that aren't a record are one row with a problem, and reading goes on at the next
+"WARC/" after an empty line; so does what remains of an archive whose compressed data is broken.
+Header lines without a colon are passed over; records other than response and revisit aren't returned.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import base64
 import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,6 +34,8 @@ from pyspark.sql import functions as F
 
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 RECORD_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, problem string"
+#: Stands among a record's header fields for what is wrong with it.
+DAMAGE = ""
 SEGMENT_SCHEMA = "origin string, number int, total long, head map<string,string>, block binary"
 
 
@@ -47,6 +54,8 @@ def dechunked(body: bytes) -> bytes:
         line = body.index(b"\r\n", at)
         size = int(body[at:line].split(b";")[0], 16)
         at = line + 2
+        if size < 0:
+            raise ValueError("negative chunk size")
         if size == 0:
             return b"".join(parts)
         if body[at + size : at + size + 2] != b"\r\n":
@@ -124,36 +133,96 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     records.select(F.col("record").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
+def _inflated(archive: bytes) -> tuple[bytes, str | None]:
+    """The archive's content, or what can be had of it and what is wrong."""
+    try:
+        return gzip.decompress(archive), None
+    except (OSError, EOFError, zlib.error):
+        out, reader = [], zlib.decompressobj(31)
+        try:
+            for k in range(0, len(archive), 4096):
+                out.append(reader.decompress(archive[k : k + 4096]))
+        except zlib.error:
+            pass
+        return b"".join(out), "compressed data is broken"
+
+
+def _number(x: str | None) -> int | None:
+    try:
+        return None if x is None else int(x)
+    except ValueError:
+        return None
+
+
+def _head(raw: bytes) -> dict[str, str] | None:
+    lines = raw.decode("utf-8", "replace").split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        return None
+    fields = dict(x.split(":", 1) for x in lines[1:] if ":" in x)
+    head = {k.strip(): v.strip() for k, v in fields.items()}
+    return head if (_number(head.get("Content-Length")) or 0) >= 0 and "Content-Length" in head else None
+
+
 def _parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The header fields and block of each record."""
-    data, at = gzip.decompress(archive), 0
+    """The header fields and block of each record; DAMAGE is among the fields where there is any."""
+    (data, broken), at = _inflated(archive), 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = dict(x.split(": ", 1) for x in lines[1:])
-        size = int(head["Content-Length"])
-        yield head, data[end + 4 : end + 4 + size]
+        end = data.find(b"\r\n\r\n", at)
+        head = None if end < 0 else _head(data[at:end])
+        size = None if head is None else _number(head["Content-Length"])
+        if size is None:
+            yield {DAMAGE: "no WARC record"}, b""
+            after = data.find(b"\r\n\r\nWARC/", at)
+            at = len(data) if after < 0 else after + 4
+            continue
+        block = data[end + 4 : end + 4 + size]
+        yield (head if len(block) == size else head | {DAMAGE: "record is cut short"}), block
         at = end + 4 + size + 4
+    if broken:
+        yield {DAMAGE: broken}, b""
+
 
+def _origin(head: dict[str, str]) -> str | None:
+    return head.get("WARC-Segment-Origin-ID", head.get("WARC-Record-ID"))
 
-def _whole(head: dict[str, str], block: bytes, keep: bool) -> tuple:
+
+def _is_segment(head: dict[str, str]) -> bool:
+    return DAMAGE not in head and _number(head.get("WARC-Segment-Number")) is not None and _origin(head) is not None
+
+
+def _is_whole(head: dict[str, str]) -> bool:
+    return not _is_segment(head) and (DAMAGE in head or "WARC-Segment-Number" in head or head.get("WARC-Type") in ("response", "revisit"))
+
+
+def _whole(head: dict[str, str], block: bytes, keep: bool, segmented: bool = False) -> tuple:
     """A row of RECORD_SCHEMA from a whole record."""
-    page, refers = head.get("X-Page-ID"), head.get("X-Refers-To-Page-ID")
-    page, refers = (None if x is None else int(x) for x in (page, refers))
+    page, kind = _number(head.get("X-Page-ID")), head.get("WARC-Type")
+
+    def bad(problem: str) -> tuple:
+        return page, None, None, kind, None, None, problem
+
+    if DAMAGE in head:
+        return bad(head[DAMAGE])
+    if "WARC-Segment-Number" in head and not segmented:
+        return bad("segment has no number or origin")
+    if "WARC-Payload-Digest" not in head:
+        return bad("no payload digest")
     digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-    http, body = block.split(b"\r\n\r\n", 1)
-    if head["WARC-Type"] == "revisit":
-        size = int(http.rsplit(b"Content-Length: ", 1)[1].split(b"\r\n")[0])
-        return page, size, digest, "revisit", refers, None, None
+    http, end, body = block.partition(b"\r\n\r\n")
+    if not end:
+        return bad("HTTP head has no end")
+    if kind == "revisit":
+        lengths = [_number(x.split(b":", 1)[1].decode("latin-1")) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+        if not lengths or lengths[-1] is None:
+            return bad("revisit has no length")
+        return page, lengths[-1], digest, kind, _number(head.get("X-Refers-To-Page-ID")), None, None
     try:
         payload = dechunked(body) if b"\r\nTransfer-Encoding: chunked" in http else body
     except ValueError:
-        return page, None, None, "response", None, None, "broken chunked framing"
+        return bad("broken chunked framing")
     if base32_sha1(payload) != digest:
-        return page, None, None, "response", None, None, "payload digest differs"
-    return page, len(payload), digest, "response", None, payload if keep else None, None
+        return bad("payload digest differs")
+    return page, len(payload), digest, kind, None, payload if keep else None, None
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -168,7 +237,7 @@ def read_archives(spark: SparkSession, path: str, *, keep_payload: bool = True)
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                rows = [_whole(h, b, keep_payload) for h, b in _parse(content) if "WARC-Segment-Number" not in h]
+                rows = [_whole(h, b, keep_payload) for h, b in _parse(content) if _is_whole(h)]
                 yield _frame(rows)
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,9 +245,9 @@ def read_archives(spark: SparkSession, path: str, *, keep_payload: bool = True)
             for content in batch["content"]:
                 rows = []
                 for h, b in _parse(content):
-                    if number := h.get("WARC-Segment-Number"):
-                        total = h.get("WARC-Segment-Total-Length")
-                        rows.append((h.get("WARC-Segment-Origin-ID", h["WARC-Record-ID"]), int(number), None if total is None else int(total), h if number == "1" else None, b))
+                    if _is_segment(h):
+                        number = _number(h["WARC-Segment-Number"])
+                        rows.append((_origin(h), number, _number(h.get("WARC-Segment-Total-Length")), h if number == 1 else None, b))
                 yield pd.DataFrame(rows, columns=["origin", "number", "total", "head", "block"]).astype({"number": "int32", "total": "Int64"})
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,10 +266,10 @@ def _reassemble(parts: list, keep: bool) -> tuple:
     if head is None:
         return None, None, None, "response", None, None, "first segment is missing"
     head = dict(head)
-    page = None if "X-Page-ID" not in head else int(head["X-Page-ID"])
+    page = _number(head.get("X-Page-ID"))
     if [p["number"] for p in parts] != list(range(1, len(parts) + 1)):
         return page, None, None, "response", None, None, "segment numbers have gaps"
     total, block = parts[-1]["total"], b"".join(bytes(p["block"]) for p in parts)
     if total is None or pd.isna(total) or int(total) != len(block):
         return page, None, None, "response", None, None, "total length differs"
-    return _whole(head, block, keep)
+    return _whole(head, block, keep, segmented=True)

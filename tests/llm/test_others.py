@@ -61,6 +61,42 @@ def test_broken_segments_are_reported():
         warc.dechunked(b"5\r\nabc")
 
 
+def test_broken_records_are_rows_with_a_problem(spark, tmp_path):
+    """One bad record or archive costs neither the job nor the records around it."""
+    import gzip
+
+    def record(i, payload=b"good", **change):
+        (one,) = warc._records(i, "u", payload, None, 10_000, 300)
+        for k, v in change.items():
+            one = one.replace(*v) if k.startswith("swap") else one
+        return one + b"\r\n\r\n"
+
+    parts = [
+        record(1),
+        record(2, swap=(b"\r\nTransfer-Encoding: chunked\r\n\r\n", b"\r\nTransfer-Encoding: chunked\r\n\n\n"), swap2=(b"\r\n0\r\n\r\n", b"\r\n0\r\n\n\n")),
+        record(3, swap=(b"WARC-Payload-Digest", b"WARC-Other-Digest")),
+        record(4, swap=(b"WARC-Date: ", b"a line of no field\r\nWARC-Date: ")),
+        b"\x00\xffnot a record\r\n\r\n",
+        record(5, swap=(b"\r\n4\r\ngood", b"\r\n-\r\ngood")),
+        record(6, swap=(b"Content-Length: ", b"Content-Length: many ")),
+        record(7, swap=(b"X-Page-ID: 7", b"X-Page-ID: x")),
+        record(8, swap=(b"X-Page-ID", b"WARC-Segment-Number: one\r\nX-Page-ID")),
+        record(9, swap=(b"WARC-Type: response", b"WARC-Type: warcinfo")),
+        record(10, swap=(b"WARC-Type: response", b"WARC-Type: revisit")),
+        record(11),
+        record(12)[:-12],
+    ]
+    (tmp_path / "a.gz").write_bytes(gzip.compress(b"".join(parts)))
+    noise = "".join(chr(33 + (i * i * 7919 + i // 3) % 90) for i in range(9_000)).encode()
+    (tmp_path / "b.gz").write_bytes(gzip.compress(record(20) + record(21, noise) + record(22, noise[::-1]))[:-200])
+    (tmp_path / "c.gz").write_bytes(b"no gzip at all")
+    got = sorted(((r["page_id"], r["problem"]) for r in warc.read_archives(spark, str(tmp_path)).collect()), key=str)
+    problems = [(2, "HTTP head has no end"), (3, "no payload digest"), (5, "broken chunked framing"), (8, "segment has no number or origin"), (10, "revisit has no length"), (12, "record is cut short")]
+    none = [(None, "no WARC record")] * 2 + [(None, None)] + [(None, "compressed data is broken")] * 2
+    assert [x for x in got if x[0] is None or x[0] < 20] == sorted([*problems, *none, *[(i, None) for i in (1, 4, 11)]], key=str)
+    assert (20, None) in got and (22, None) not in got
+
+
 def plain_targets(sizes, weights=(1, 2, 3), cap=3):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: weights[i % 3] for i, s in enumerate(names)}
