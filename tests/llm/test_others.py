@@ -7,6 +7,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import test_decontamination
+import test_jaccard
+import test_lines
 from pyspark.sql import functions as F
 
 from proctrace.llm import ann, mixing, toxicity, warc
@@ -227,13 +230,63 @@ def test_toxicity_edges(spark, docs):
     assert all(0 <= r["score"] <= 1 for r in toxicity.score_texts(table, model).collect())
 
 
-def test_pipeline_keeps_what_stages_keep(spark):
+def plain_pipeline(rows, score, items):
+    """(doc_id, text, source) rows that are left before the mix."""
+    rows = [r for r in rows if score(r[1] or "") < 0.5]
+    removed = {r[0]: set(r[3].split(",")) - {""} for r in test_lines.plain([r[:2] for r in rows])}
+    left = []
+    for doc, text, source in rows:
+        if gone := removed[doc]:
+            text = "\n".join(x for i, x in enumerate(text.split("\n")) if str(i) not in gone)
+            if not test_jaccard.SPACE.search(text):
+                continue
+        left.append((doc, text, source))
+    left.sort(key=lambda r: (r[0] is None, r[0] or 0))
+    sets, holders, group = [test_jaccard.shingles(r[1], 5) for r in left], defaultdict(list), list(range(len(left)))
+
+    def first(i):
+        return i if group[i] == i else first(group[i])
+
+    for i, s in enumerate(sets):
+        for j in {j for e in s for j in holders[e]}:
+            common = len(s & sets[j])
+            if 5 * common >= 4 * (len(s) + len(sets[j]) - common):
+                a, b = sorted((first(i), first(j)))
+                group[b] = a
+        for e in s:
+            holders[e].append(i)
+    left = [r for i, r in enumerate(left) if first(i) == i]
+    hit = {r[0] for r in test_decontamination.plain([r[:2] for r in left], items) if r[5]}
+    return [r for r in left if r[0] not in hit]
+
+
+def test_pipeline_against_a_plain_fold(spark, tmp_path):
+    """Each stage's decisions on its predecessor's output; null id, text and source, empty text, clashing names."""
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{D}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "ngram_jaccard", "decontamination", "source_mix"]
-    rows = corpus_pipeline.run(spark, D).collect()
-    assert 0 < len(rows) < docs.count() and len({r["doc_id"] for r in rows}) == len(rows)
-    assert all(0 <= r["taken"] <= 3 * r["size"] for r in rows)
-    total, taken = sum(r["size"] for r in rows), sum(r["taken"] for r in rows)
-    assert abs(total - taken) <= 15
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    odd = [(900_001, None, "web"), (900_002, "", None), (900_003, "a line of its own that no other document has", None), (None, "words without any document number at all here", "web")]
+    docs = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string, source string"), allowMissingColumns=True)
+    for name in ("own_id", "text_key", "size", "__id", "target"):
+        docs = docs.withColumn(name, F.lit("x"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{D}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    docs, labels = (spark.read.parquet(str(tmp_path / f"{n}.parquet")) for n in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{D}/benchmark.parquet").collect()]
+    given = [tuple(r) for r in docs.select("doc_id", "text", "source").collect()]
+    left = plain_pipeline(given, model.score, items)
+    words = {r[0]: len(test_jaccard.SPACE.findall(r[1] or "")) for r in left}
+    assert len(left) < len(given) and {r["doc_id"]: r["size"] for r in rows} == words and len(rows) == len(left)
+    sizes, taken = Counter(), Counter()
+    source = {r[0]: r[2] for r in left}
+    for r in rows:
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        sizes[source[r["doc_id"]]] += r["size"]
+        taken[source[r["doc_id"]]] += r["taken"]
+    for s, target in plain_targets(sizes).items():
+        assert abs(taken[s] - target) <= 1
