@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next stage's docs. All stages but the last return the columns of documents.
+
+Defined cases, in every stage: a null or empty text is a document without words, and stays; a
+null id is an id of its own, ordered last; repeated rows have the same fate, and each that stays
+is a row of its own; an empty table gives an empty result; other columns, whatever their names,
+pass through unread. Each stage judges whole texts as its predecessor left them.
 """
 
 from __future__ import annotations
@@ -14,27 +19,36 @@ from proctrace.llm.common import stage, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones, doesn't reject."""
+    """Documents that the classifier, fitted on the labelled ones, doesn't reject; without labels of both classes all stay."""
     return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier line resembles; those left without words go."""
+    """Documents without lines that an earlier line resembles; those that lose all their words so go.
+
+    Earlier is by document id, then text, then place, so of equal lines the first one stays.
+    """
     return lines.without_repeats(docs)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document of each class of near copies: five-word shingles, similarity 0.8 or more.
+
+    The smallest id of a class stays. Documents without words are in no class.
+    """
     return jaccard.one_of_each(docs, n=5, num=4, den=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark doesn't contaminate."""
+    """Documents that the benchmark doesn't contaminate: fewer than a twentieth of their words are hit. An empty benchmark drops none."""
     return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document with its size, its source's size and target, and the words the mix takes of it."""
+    """Each document with its size, its source's size and target, and the words the mix takes of it.
+
+    A null source is a source of its own, ordered last.
+    """
     return mixing.mix_sources(docs).documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
