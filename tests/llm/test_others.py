@@ -290,3 +290,22 @@ def test_pipeline_against_a_plain_fold(spark, tmp_path):
         taken[source[r["doc_id"]]] += r["taken"]
     for s, target in plain_targets(sizes).items():
         assert abs(taken[s] - target) <= 1
+
+
+def test_pipeline_stages_on_empty_and_repeated_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    two = [(1, "one two three", "en", "s", 1)] * 2 + [(2, None, None, None, None)] * 2
+    twice = spark.createDataFrame(two, docs.schema)
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, docs.limit(0), D)
+        assert out.columns == docs.columns and out.count() == 0
+        assert sorted(map(tuple, step(spark, twice, D).collect()), key=str) == sorted(two, key=str)
+    assert corpus_pipeline.mix(spark, docs.limit(0), D).count() == 0
+    mixed = sorted(map(tuple, corpus_pipeline.mix(spark, twice, D).collect()))
+    assert mixed == [(1, 3, 6, 6.0, 3)] * 2 + [(2, 0, 0, 0.0, 0)] * 2
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{D}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.reject_toxic(spark, twice, str(tmp_path)).count() == 4
+    assert corpus_pipeline.drop_contaminated(spark, twice, str(tmp_path)).count() == 4
