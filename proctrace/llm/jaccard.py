@@ -16,7 +16,8 @@ Candidates are verified on the whole sets. Equal sets are one node. First, each
 against the smallest node of each signature; links found join nodes to classes, and only nodes
 of different classes that share a signature are then held against each other, after bounds on
 sizes and on parity sketches (bits that differ are fewer than elements that differ). So a group
-of near copies costs a pair or a few for each member.
+of near copies costs a pair or a few for each member. Large sets fill a sketch of fixed length, so
+they have a wide one too, of some bits an element, which pairs pass before texts are sent.
 
 Elements are compared as 64-bit hashes, sets as 128-bit ones.
 
@@ -148,6 +149,21 @@ def sketch(s: np.ndarray) -> list[int]:
     return [int(x) for x in np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)]
 
 
+def wide_sketch(s: np.ndarray) -> bytes | None:
+    """Parity bits, more than elements, of a set whose size fills a plain sketch; smaller ones do with that."""
+    if len(s) <= 64 * SKETCH:
+        return None
+    width = 1 << len(s).bit_length()
+    bits = np.bincount((mix(s + np.uint64(77)) % np.uint64(width)).astype(np.int64), minlength=width) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def parity_bits_apart(x: bytes, y: bytes) -> int:
+    """Bits in which two wide sketches differ, the longer one folded to the length of the other."""
+    short, long = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(long.reshape(-1, len(short)), axis=0) ^ short).sum())
+
+
 def jaccard_classes(docs: DataFrame, *, n: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id), a row per document; similarity num / den."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("text_key"))
@@ -235,18 +251,18 @@ def _links(texts: DataFrame, starts: list[int], bands: list[Band], n: int, num:
         pack = zstandard.ZstdCompressor(level=3).compress
         for part in _parts(batches):
             found = [shingles(t, n) for t in binaries(part["text"])]
-            yield pa.RecordBatch.from_arrays([part["node"], pa.array([len(s) for s in found], pa.int64()), pa.array([sketch(s) for s in found], pa.list_(pa.int64())), pa.array(map(pack, binaries(part["text"])), pa.binary())], names=["node", "size", "sketch", "packed"])
+            yield pa.RecordBatch.from_arrays([part["node"], pa.array([len(s) for s in found], pa.int64()), pa.array([sketch(s) for s in found], pa.list_(pa.int64())), pa.array([wide_sketch(s) for s in found], pa.binary()), pa.array(map(pack, binaries(part["text"])), pa.binary())], names=["node", "size", "sketch", "wide", "packed"])
 
-    sets = stage(texts.join(involved, "node", "left_semi").mapInArrow(elements, "node long, size long, sketch array<long>, packed binary"), "jac-elements")
+    sets = stage(texts.join(involved, "node", "left_semi").mapInArrow(elements, "node long, size long, sketch array<long>, wide binary, packed binary"), "jac-elements")
     discard(involved)
     sizes = sets.select("node", "size", "sketch")
     pairs = members.where("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n_sigs"))
     hopeful = stage(_bounded(pairs, sizes, num, den), "jac-hopeful")
     # a node's likeliest partner first: near copies are mostly settled by that
     best = hopeful.groupBy("b").agg(F.max_by("a", F.struct("n_sigs", "a")).alias("a")).select("a", "b")
-    links = stage(_verified(best, sets, n, num, den), "jac-links")
+    links = _verified(best, sets, n, num, den)
     roots = components(links)
-    links = stage(links.unionByName(_verified(_unlike(hopeful.select("a", "b"), roots), sets, n, num, den)), "jac-links")
+    links = links.unionByName(_verified(_unlike(hopeful.select("a", "b"), roots), sets, n, num, den))
     discard(hopeful)
 
     # what shares a signature and is still of different classes
@@ -258,7 +274,7 @@ def _links(texts: DataFrame, starts: list[int], bands: list[Band], n: int, num:
     left = tagged.select("sig", F.col("node").alias("a"), F.col("pivot"), F.col("root").alias("ra"), F.col("size").alias("sa"), F.col("sketch").alias("ka"))
     right = tagged.select("sig", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"), F.col("sketch").alias("kb"))
     cross = left.join(right, "sig").where("a < b and ra <> rb and a <> pivot").where(_hope(num, den)).select("a", "b").distinct()
-    links = stage(links.unionByName(_verified(cross, sets, n, num, den)), "jac-links")
+    links = links.unionByName(_verified(cross, sets, n, num, den))
     discard(tagged, sets)
     return links
 
@@ -283,8 +299,22 @@ def _unlike(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return out.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
+def _close(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs whose wide sketches, where both have one, allow the similarity."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(*(batch[c].to_pylist() for c in ("sa", "sb", "wa", "wb")))
+            keep = [x is None or y is None or parity_bits_apart(x, y) * (den + num) <= (sa + sb) * (den - num) for sa, sb, x, y in both]
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = sets.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("wide").alias("wa"))
+    right = sets.select(F.col("node").alias("b"), F.col("size").alias("sb"), F.col("wide").alias("wb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", "wa", "wb").mapInArrow(fit, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Pairs whose whole sets are similar. Texts travel compressed: a third of the size of their hashed shingles."""
+    """Pairs whose whole sets are similar, as a staged table. Texts travel compressed: a third of the size of their hashed shingles."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -296,9 +326,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, n: int, num: int, den: int) ->
                 keep.append(den * common >= num * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    close = stage(_close(pairs, sets, num, den), "jac-close")
     left = sets.select(F.col("node").alias("a"), F.col("packed").alias("pa"))
     right = sets.select(F.col("node").alias("b"), F.col("packed").alias("pb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(verify, "a long, b long")
+    found = close.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(verify, "a long, b long")
+    out = stage(found, "jac-links")
+    discard(close)
+    return out
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -105,6 +105,34 @@ def left(sigs, tags):
     return np.concatenate(out)
 
 
+def test_wide_sketches_bound_the_difference():
+    rng = np.random.default_rng(2)
+    assert jaccard.wide_sketch(np.arange(64 * jaccard.SKETCH, dtype=np.uint64)) is None
+    for _ in range(60):
+        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1100, 6000))).astype(np.uint64))
+        b = np.unique(np.concatenate([a[int(rng.integers(0, len(a) // 3)) :], rng.integers(0, 1 << 63, int(rng.integers(0, 1500))).astype(np.uint64)]))
+        if len(b) > 64 * jaccard.SKETCH:
+            x, y = jaccard.wide_sketch(a), jaccard.wide_sketch(b)
+            apart = len(np.setxor1d(a, b))
+            assert jaccard.parity_bits_apart(x, y) == jaccard.parity_bits_apart(y, x) <= apart
+            assert jaccard.parity_bits_apart(x, y) % 2 == apart % 2
+    unlike = [np.unique(rng.integers(0, 1 << 63, 4000).astype(np.uint64)) for _ in range(2)]
+    assert jaccard.parity_bits_apart(*map(jaccard.wide_sketch, unlike)) * 9 > 8000  # rejected at a similarity of 0.8, too
+
+
+def test_long_texts_that_share_passages(spark, docs):
+    rng = random.Random(7)
+    passage = [f"p{i}" for i in range(200)]
+    rows = []
+    for size in (1000, 1030, 1300, 2050, 5000):
+        for _ in range(3):
+            base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+            at = rng.randrange(size)
+            base[at:at] = passage
+            rows += [(len(rows) + k, near(rng, base, c)) for k, c in enumerate((0, size // 70, size // 50, size // 20))]
+    assert got(docs(rows)) == plain(rows)
+
+
 def test_empty_table_and_representatives(spark, docs):
     assert got(docs([])) == []
     table = docs([(1, "a b c d"), (2, "a b c d"), (3, ""), (4, None), (5, "q r s t"), (None, "a b c d"), (2, "a b c d")])
