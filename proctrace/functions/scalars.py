@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,3 +34,8 @@ def to_data_url(jpeg: Column) -> Column:
 def percent(part: Column, whole: Column) -> Column:
     """part / whole in percent, 0 where there is no whole."""
     return F.when(whole == 0, F.lit(0.0)).otherwise(part / whole * 100.0)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once for each row, however often use refers to it, in lambdas too."""
+    return F.transform(F.array(value), use)[0]

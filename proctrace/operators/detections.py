@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,9 +95,45 @@ def bubble_label(n: Column) -> Column:
     return F.concat(F.lit("Bubbles: "), n.cast("string"))
 
 
-def infer_distinct(frames: DataFrame, content: str, stage) -> DataFrame:
-    """Runs stage, a DataFrame function of (digest, content), once for each distinct content, null included; all frames get its result."""
-    keyed = frames.withColumn("digest", F.sha2(F.col(content), 256))
-    once = stage(keyed.select("digest", content).dropDuplicates(["digest"]))
-    once = once.withColumnRenamed("digest", "__digest")
-    return keyed.join(once, F.col("digest").eqNullSafe(F.col("__digest")), "left").drop("__digest")
+def _dealt(frames: DataFrame, content: str, parts: int) -> DataFrame:
+    """With the content's digest and a deal, which parts the frames without content; others have the deal 0."""
+    others = [F.col(c) for c, kind in frames.dtypes if c != content and not kind.startswith("map")]
+    return frames.withColumn("digest", F.sha2(F.col(content), 256)).withColumn("__deal", F.when(F.col(content).isNull(), F.pmod(F.xxhash64(*others), F.lit(parts))).otherwise(0).cast("int"))
+
+
+def _with_results(keyed: DataFrame, once: DataFrame, parts: int) -> DataFrame:
+    """Each frame with its digest's result, that of no content copied to each deal."""
+    deals = F.explode(F.when(F.col("__digest").isNull(), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))
+    once = once.withColumnRenamed("digest", "__digest").withColumn("__own", deals)
+    same = F.col("digest").eqNullSafe(F.col("__digest")) & (F.col("__deal") == F.col("__own"))
+    return keyed.join(once, same, "left").drop("__digest", "__deal", "__own")
+
+
+def infer_distinct(frames: DataFrame, content: str, stage: Callable[[DataFrame], DataFrame], parts: int = 64) -> DataFrame:
+    """Runs stage, a DataFrame function of (digest, content), once for each distinct content, null included; all frames get its result.
+
+    Frames without content, however many, are dealt to ``parts`` groups.
+    """
+    keyed = _dealt(frames, content, parts)
+    return _with_results(keyed, stage(keyed.select("digest", content).dropDuplicates(["digest"])), parts)
+
+
+def infer_stored(frames: DataFrame, content: str, stage: Callable[[DataFrame], DataFrame], results: str, parts: int = 64) -> DataFrame:
+    """As infer_distinct, with results kept in a table at the path ``results`` between runs: stage runs for contents not seen before.
+
+    New results are appended before any is read, so a run that fails later has kept them. Runs at
+    the same time may append a result twice; readers take one.
+    """
+    spark, keyed = frames.sparkSession, _dealt(frames, content, parts)
+    distinct = keyed.select("digest", content).dropDuplicates(["digest"])
+    try:
+        seen = spark.read.parquet(results)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        new = distinct
+    else:
+        known = seen.select(F.col("digest").alias("__digest")).distinct()
+        new = distinct.join(known, F.col("digest").eqNullSafe(F.col("__digest")), "left_anti")
+    stage(new).write.mode("append").parquet(results)
+    return _with_results(keyed, spark.read.parquet(results).dropDuplicates(["digest"]), parts)

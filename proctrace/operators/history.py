@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from proctrace.functions.scalars import fixed, iso
+from proctrace.operators.scans import Measure, counted, running
 
 #: Fixed by the playlist format.
 HEADER = "#EXTM3U\n#EXT-X-VERSION:3\n#EXT-X-TARGETDURATION:10\n"
@@ -70,16 +71,16 @@ def segments_with_keypoints(segments: DataFrame, keypoints: DataFrame) -> DataFr
 
 
 def segment_keypoints(segments: DataFrame, keypoints: DataFrame, task_id: int, segment_id: int) -> DataFrame:
-    """The records of one segment in order."""
+    """The records of one segment in order; a raw segment raises an error, when the rows are asked for."""
     one = lookup(segments, task_id=task_id, id=segment_id)
-    if one.where("kind = 'raw'").count():
-        raise ValueError("raw segments have no keypoints")
-    one = one.select("client_id", F.unix_micros("start_ts").alias("segment_start_us"))
+    stored = F.when(F.col("kind") == "raw", F.raise_error(F.lit("raw segments have no keypoints"))).otherwise(F.lit("processed"))
+    one = one.select("client_id", F.unix_micros("start_ts").alias("segment_start_us"), stored.alias("__kind")).where("__kind = 'processed'").drop("__kind")
     return keypoints.join(one, ["client_id", "segment_start_us"]).orderBy("pos")
 
 
 def all_keypoints(keypoints: DataFrame) -> DataFrame:
     """All records of every task, segments by start, with each task's number of frames."""
     rows = keypoints.where("task_id is not null")
-    order = W.partitionBy("task_id").orderBy("segment_start_us", "segment_id", "pos")
-    return rows.withColumn("frame_no", F.row_number().over(order)).withColumn("total_frames", F.count("*").over(W.partitionBy("task_id")))
+    numbers = {"frame_no": Measure("sum", counted()), "total_frames": Measure("whole", counted())}
+    rows = running(rows, ["task_id"], ("segment_start_us", "segment_id", "pos"), numbers, at=F.timestamp_micros("segment_start_us"))
+    return rows.withColumn("frame_no", F.col("frame_no").cast("int"))

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from proctrace.functions.scalars import percent
+from proctrace.operators.scans import Measure, counted, running
 
 
 def queue_status(frames: DataFrame, clients: DataFrame, length: int = 150, live: int = 30, as_of: Column | None = None) -> DataFrame:
@@ -61,16 +61,14 @@ def stage_health(results: DataFrame, stages: list[str]) -> DataFrame:
 
 def progress(log: DataFrame, every: int = 30) -> DataFrame:
     """Every n-th sent frame of a client: counts and rate so far."""
-    order = W.partitionBy("client_id").orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, 0)
-    sent = log.where("outcome <> 'encode_error'")
-    seen = {"ok": F.count_if(F.col("outcome") == "success"), "bad": F.count_if(F.col("outcome") == "error"), "began": F.min("ts"), "frames_sent": F.count("*")}
-    rows = sent.withColumns({k: c.over(order) for k, c in seen.items()}).where(F.col("frames_sent") % every == 0)
+    outcome = F.col("outcome")
+    seen = {"ok": Measure("sum", counted(outcome == "success")), "bad": Measure("sum", counted(outcome == "error")), "began": Measure("least", F.col("ts")), "frames_sent": Measure("sum", counted())}
+    rows = running(log.where("outcome <> 'encode_error'"), ["client_id"], ("ts", "seq"), seen).where(F.col("frames_sent") % every == 0)
     elapsed = (F.unix_micros("ts") - F.unix_micros("began")) / 1e6
     return rows.select("client_id", "frames_sent", F.col("ok").alias("frames_success"), F.col("bad").alias("frames_error"), F.when(elapsed > 0, F.col("frames_sent") / elapsed).otherwise(0.0).alias("fps"))
 
 
 def trajectory(records: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """A keypoint's places in each task in order; alpha is the share of the task's frames before it."""
-    order = W.partitionBy("task_id").orderBy("ts", "frame_id")
-    rows = records.where("task_id is not null").withColumn("index", F.row_number().over(order) - 1).withColumn("total", F.count("*").over(W.partitionBy("task_id")))
-    return rows.where(F.col(x).isNotNull()).select("task_id", "index", x, y, (F.col("index") / F.col("total")).alias("alpha"))
+    rows = running(records.where("task_id is not null"), ["task_id"], ("ts", "frame_id"), {"__no": Measure("sum", counted()), "total": Measure("whole", counted())})
+    return rows.where(F.col(x).isNotNull()).select("task_id", (F.col("__no") - 1).cast("int").alias("index"), x, y, ((F.col("__no") - 1) / F.col("total")).alias("alpha"))

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from proctrace.functions.scalars import epoch_text, iso
+from proctrace.operators.scans import Measure, running
+
 ORDER = ("ts", "cmd_id")
 
 
@@ -47,28 +50,24 @@ def fold_tasks(commands: DataFrame) -> DataFrame:
 
 def task_listing(tasks: DataFrame, total: bool = True) -> DataFrame:
     """All tasks with the creation time as text, and how many there are."""
-    from proctrace.functions.scalars import epoch_text
-
     rows = tasks.select("task_id", "initiator_operator_id", "current_step", "status", epoch_text(F.col("created_at")).alias("created_at"))
     return rows.join(F.broadcast(rows.agg(F.count("*").alias("total"))), F.lit(True)) if total else rows
 
 
-def status_feed(ticks: DataFrame, commands: DataFrame, counts: DataFrame) -> DataFrame:
+def status_feed(ticks: DataFrame, commands: DataFrame, frames: DataFrame) -> DataFrame:
     """The status message of each tick (client_id, ts): of the client's current task, or that there is none.
 
-    counts: (client_id, ts, task_id, after_count), the running bending count of processed frames.
-    Commands and counts of a tick's own time come before it.
+    frames: (client_id, ts, pipeline_ok, bent); processed frames and bent ones count since their
+    task was set. Commands and frames of a tick's own time come before it. Commands, frames and
+    ticks are one timeline of their client, gone through once.
     """
     marks = accepted_commands(commands)
     live = F.when(F.col("command") != "terminate", F.struct("task_id", F.when(F.col("command") == "start", "running").otherwise("initialized").alias("status"), F.unix_seconds("ts").alias("updated_at")))
-    a = marks.select("client_id", "ts", F.lit(0).alias("turn"), F.struct(live.alias("t")).alias("state"))
-    b = counts.where("task_id is not null").select("client_id", "ts", F.lit(1).alias("turn"), F.struct("task_id", "after_count").alias("count"))
+    a = marks.select("client_id", "ts", F.lit(0).alias("turn"), (F.col("command") != "start").alias("anew"), F.struct(live.alias("t")).alias("mark"))
+    b = frames.where("pipeline_ok").select("client_id", "ts", F.lit(1).alias("turn"), (F.lit(1) + F.coalesce(F.col("bent"), F.lit(False)).cast("int")).cast("long").alias("n"))
     c = ticks.select("client_id", "ts", F.lit(2).alias("turn"))
-    all_rows = a.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
-    order = W.partitionBy("client_id").orderBy("ts", "turn").rowsBetween(W.unboundedPreceding, 0)
-    seen = all_rows.withColumn("state", F.last("state", ignorenulls=True).over(order)).withColumn("count", F.last("count", ignorenulls=True).over(order)).where("turn = 2")
-    from proctrace.functions.scalars import iso
-
-    bending = F.when(F.col("count.task_id") == F.col("state.t.task_id"), F.col("count.after_count")).otherwise(0)
-    full = F.to_json(F.struct(F.col("state.t.task_id").alias("task_id"), F.col("state.t.status").alias("status"), F.lit("0").alias("cleaning_stage"), bending.alias("bending_count"), F.lit(False).alias("bubble_detected"), F.lit(False).alias("fully_submerged"), iso(F.timestamp_seconds("state.t.updated_at")).alias("updated_at")))
+    timeline = a.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
+    measures = {"state": Measure("last", F.col("mark")), "bending": Measure("since", F.coalesce("n", F.lit(0).cast("long")))}
+    seen = running(timeline, ["client_id"], ("ts", "turn"), measures, mark=F.coalesce("anew", F.lit(False))).where("turn = 2")
+    full = F.to_json(F.struct(F.col("state.t.task_id").alias("task_id"), F.col("state.t.status").alias("status"), F.lit("0").alias("cleaning_stage"), F.col("bending").alias("bending_count"), F.lit(False).alias("bubble_detected"), F.lit(False).alias("fully_submerged"), iso(F.timestamp_seconds("state.t.updated_at")).alias("updated_at")))
     return seen.select("client_id", "ts", F.when(F.col("state.t").isNull(), F.lit('{"status":"no_active_task"}')).otherwise(full).alias("message"))

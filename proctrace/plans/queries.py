@@ -75,27 +75,32 @@ def us(c: str = "ts"):
     return F.unix_micros(c).alias(f"{c}_us" if c != "ts" else "ts_us")
 
 
-def attached(spark: SparkSession, d: str) -> DataFrame:
-    return frames.attach_task(src.frames(spark, d), tasks.accepted_commands(src.commands(spark, d)))
+def attached(spark: SparkSession, d: str, numbers: bool = False) -> DataFrame:
+    return frames.attach_task(src.frames(spark, d), tasks.accepted_commands(src.commands(spark, d)), numbers)
 
 
 def named(spark: SparkSession, d: str) -> DataFrame:
     return detections.with_class_name(src.detections(spark, d), src.classes(spark))
 
 
-def results(spark: SparkSession, d: str) -> DataFrame:
-    """Attached frames with whether a confident box is bent."""
+def with_bent(spark: SparkSession, d: str) -> DataFrame:
+    """Frames with whether a confident box is bent."""
     bent = detections.bending_per_frame(detections.filter_confidence(named(spark, d))).select("client_id", "frame_id", "bent")
-    return attached(spark, d).join(bent, ["client_id", "frame_id"], "left").withColumn("bent", F.coalesce("bent", F.lit(False)))
+    return src.frames(spark, d).join(bent, ["client_id", "frame_id"], "left").withColumn("bent", F.coalesce("bent", F.lit(False)))
+
+
+def results(spark: SparkSession, d: str) -> DataFrame:
+    """Those frames with their task and its counters."""
+    return frames.attach_task(with_bent(spark, d), tasks.accepted_commands(src.commands(spark, d)), bending=True)
 
 
 def segs(spark: SparkSession, d: str) -> DataFrame:
-    return frames.segments(attached(spark, d), SEGMENT)
+    return frames.segments(attached(spark, d, numbers=True), SEGMENT)
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
     seen = F.col("event_type") != "view"
-    kp = frames.keypoint_frames(attached(spark, d), SEGMENT)
+    kp = frames.keypoint_frames(attached(spark, d, numbers=True), SEGMENT)
     return kp.withColumn("x", F.when(seen, F.col("k") * 6)).withColumn("y", F.when(seen, F.floor("value").cast("int")))
 
 
@@ -218,7 +223,7 @@ SELECT client_id, frame_id, CASE WHEN bent THEN 'BENDING DETECTED! Count: ' ELSE
 def status_labels(spark, d):
     n = F.col("after_count")
     score, grade = detections.cleanliness(F.col("bubble_count"), F.lit(True))
-    return frames.running_bending(results(spark, d)).select("client_id", "frame_id", detections.bending_label(F.col("bent"), n).alias("bending_label"), detections.task_label(F.col("task_id"), n).alias("task_label"), detections.cleanliness_label(grade, score).alias("clean_label"), detections.bubble_label(F.col("bubble_count")).alias("bubble_label"))
+    return results(spark, d).where("pipeline_ok").select("client_id", "frame_id", detections.bending_label(F.col("bent"), n).alias("bending_label"), detections.task_label(F.col("task_id"), n).alias("task_label"), detections.cleanliness_label(grade, score).alias("clean_label"), detections.bubble_label(F.col("bubble_count")).alias("bubble_label"))
 
 
 @query("task_point_lookup", "SELECT task_id, status, created_at, updated_at FROM tasks WHERE task_id = (SELECT min(task_id) FROM tasks)")
@@ -293,7 +298,7 @@ def processing_rate(spark, d):
 
 @query("task_summary", "SELECT a.task_id, count(*) AS total_frames, count(*) FILTER (a.pipeline_ok) AS frames_with_result, max(c.stored_count) AS max_bending, round(avg(c.stored_count), 2) AS mean_bending FROM attached a LEFT JOIN counts c ON a.client_id = c.client_id AND a.frame_id = c.frame_id WHERE a.task_id IS NOT NULL GROUP BY 1")
 def task_summary(spark, d):
-    counted = frames.running_bending(results(spark, d), failed=True)
+    counted = results(spark, d)
     return quality.task_summary(counted.select("task_id", F.col("pipeline_ok").alias("has_result"), F.col("stored_count").alias("bending_count")))
 
 
@@ -334,7 +339,7 @@ def latest_result(spark, d):
 
 @query("running_bending", "SELECT client_id, frame_id, task_id, stored_count, after_count FROM counts")
 def running_bending(spark, d):
-    return frames.running_bending(results(spark, d)).select("client_id", "frame_id", "task_id", "stored_count", "after_count")
+    return results(spark, d).where("pipeline_ok").select("client_id", "frame_id", "task_id", "stored_count", "after_count")
 
 
 @query("task_status_feed", """, b AS (SELECT client_id, date_trunc('day', min(ts)) AS t0, max(ts) AS t1 FROM frames GROUP BY 1), ticks AS (SELECT client_id, unnest(generate_series(t0, t1, INTERVAL 6 HOUR)) AS ts FROM b),
@@ -344,7 +349,7 @@ SELECT client_id, epoch_us(ts) AS ts_us, CASE WHEN command IS NULL OR command =
 def task_status_feed(spark, d):
     span = src.frames(spark, d).groupBy("client_id").agg(F.date_trunc("day", F.min("ts")).alias("t0"), F.max("ts").alias("t1"))
     ticks = span.select("client_id", F.explode(F.sequence("t0", "t1", F.expr("interval 6 hours"))).alias("ts"))
-    return tasks.status_feed(ticks, src.commands(spark, d), frames.running_bending(results(spark, d))).select("client_id", us(), "message")
+    return tasks.status_feed(ticks, src.commands(spark, d), with_bent(spark, d)).select("client_id", us(), "message")
 
 
 @query("task_lifecycle", "SELECT * FROM tasks")

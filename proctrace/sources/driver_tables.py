@@ -57,7 +57,7 @@ def many_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CLASSES, "class_id int, class_name string")
+    return spark.range(len(CLASSES)).select(F.col("id").cast("int").alias("class_id"), F.element_at(F.array(*[F.lit(n) for _, n in CLASSES]), (F.col("id") + 1).cast("int")).alias("class_name"))
 
 
 def upload_log(spark: SparkSession, sf_dir: str) -> DataFrame:

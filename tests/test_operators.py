@@ -92,8 +92,8 @@ def test_task_lifecycle_and_feed(spark):
     assert (row["status"], row["created_at"] - base, row["start_time"] - base, row["end_time"] - base, row["updated_at"] - base) == ("terminated", 10, 12, 20, 20)
     assert sorted(r["cmd_id"] for r in tasks.rejected_commands(df).collect()) == [3, 5]
     ticks = spark.createDataFrame([("c", at(s * 1000)) for s in (9, 15, 25)], "client_id string, ts timestamp")
-    counts = frames.running_bending(spark.createDataFrame([frame(1, ms=14000, task=7, bent=True)], FRAME))
-    feed = [r["message"] for r in tasks.status_feed(ticks, df, counts).orderBy("ts").collect()]
+    seen = spark.createDataFrame([frame(1, ms=14000, bent=True)], FRAME)
+    feed = [r["message"] for r in tasks.status_feed(ticks, df, seen).orderBy("ts").collect()]
     assert feed[0] == feed[2] == '{"status":"no_active_task"}' and '"task_id":7' in feed[1] and '"bending_count":2' in feed[1] and '"running"' in feed[1]
 
 
@@ -105,8 +105,10 @@ def test_history(spark):
     assert history.traceback_segments(segs, 999).count() == 0
     assert history.traceback_playlist(segs, "processed").first()["playlist_path"] == "/p/processed_playlist.m3u8"
     assert history.segment_lookup(segs, 1, 2).first()["file_name"] == "processed_segment_5.mp4"
-    with pytest.raises(ValueError):
-        history.segment_keypoints(segs, segs, 1, 1)
+    stored = spark.createDataFrame([], "client_id string, segment_start_us long, pos int")
+    with pytest.raises(Exception, match="raw segments have no keypoints"):
+        history.segment_keypoints(segs, stored, 1, 1).collect()
+    assert history.segment_keypoints(segs, stored, 1, 2).collect() == []
 
 
 def test_rates(spark):
@@ -163,3 +165,23 @@ def test_fold_of_commands_and_frames(spark, items):
     chunks = sorted((c, k, m[4 * k + 3][1]) for c, m in made.items() for k in range(len(m) // 4))
     got = frames.segments(attached, 4).where("kind = 'raw'").collect()
     assert sorted(((r["client_id"], r["segment_no"], r["task_id"]) for r in got), key=str) == sorted(chunks, key=str)
+
+
+def test_results_kept_between_runs(spark, tmp_path):
+    """The second run's stage sees new contents only; frames without content, half of all, are many groups."""
+    calls = []
+
+    def stage(df):
+        calls.append(sorted((r["content"] for r in df.select("content").collect()), key=str))
+        return df.select("digest", F.coalesce(F.length("content"), F.lit(-1)).alias("n"))
+
+    make = lambda contents: spark.createDataFrame([(i, c) for i, c in enumerate(contents)], "frame_id long, content string")
+    first = make(["a", "a", "bb", None] + [None] * 40)
+    got = detections.infer_stored(first, "content", stage, str(tmp_path / "r"))
+    assert sorted((r["frame_id"], r["n"]) for r in got.collect()) == [(0, 1), (1, 1), (2, 2)] + [(i, -1) for i in range(3, 44)]
+    again = detections.infer_stored(make(["a", "ccc", None]), "content", stage, str(tmp_path / "r"))
+    assert sorted((r["frame_id"], r["n"]) for r in again.collect()) == [(0, 1), (1, 3), (2, -1)]
+    assert calls == [[None, "a", "bb"], ["ccc"]] or calls == [["a", "bb", None], ["ccc"]]
+    dealt = detections._dealt(first, "content", 64)
+    assert dealt.where("content is null").select("__deal").distinct().count() > 10
+    assert sorted((r["frame_id"], r["n"]) for r in detections.infer_distinct(first, "content", stage).collect()) == sorted((r["frame_id"], r["n"]) for r in got.collect())

@@ -2,11 +2,14 @@
 
 import math
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from proctrace.operators.scans import ONE_TASK
 from proctrace.plans import registry
 
 D = os.environ.get("TWINS_DIR", "/root/testdata/sf0.001")
@@ -27,6 +30,19 @@ def plain(v):
     return v
 
 
+#: Queries whose plan is another one where the input is too large for one task.
+SPLIT = ["all_keypoints", "frame_task_asof", "progress_marks", "rate_throttle", "running_bending", "segment_frames", "segments", "task_status_feed", "task_summary", "trajectory"]
+
+
+@pytest.mark.parametrize("name", SPLIT)
+def test_twin_split_by_hour(spark, duck, name):
+    spark.conf.set(ONE_TASK[0], "0")
+    try:
+        test_twin(spark, duck, name)
+    finally:
+        spark.conf.unset(ONE_TASK[0])
+
+
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_twin(spark, duck, name):
     df = registry.QUERIES[name](spark, D)
@@ -42,3 +58,9 @@ def test_twin(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_without_what_the_llm_operators_need():
+    """If they can't be imported, for whatever is missing, the other queries are there."""
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; q = e.queries(); assert 'segments' in q and not [n for n in q if n.startswith('op')], q; assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.abspath(entry.__file__)))
