@@ -30,10 +30,14 @@ def file_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def playlist_entry(fps: int) -> Column:
+    """The two lines of a segment."""
+    return F.concat(F.lit("#EXTINF:"), fixed(F.col("n_frames") / float(fps), 3), F.lit(",\n"), file_name(F.col("segment_path")), F.lit("\n"))
+
+
 def playlists(segments: DataFrame, fps: int = 30) -> DataFrame:
-    """The text of each playlist, segments in order."""
-    entry = F.concat(F.lit("#EXTINF:"), fixed(F.col("n_frames") / float(fps), 3), F.lit(",\n"), file_name(F.col("segment_path")), F.lit("\n"))
-    rows = segments.groupBy("playlist_path").agg(F.array_sort(F.collect_list(F.struct("start_ts", "id", entry.alias("entry")))).alias("x"))
+    """The text of each playlist, segments in order, as one value; ``sources.store.write_playlists`` writes them to files without that."""
+    rows = segments.groupBy("playlist_path").agg(F.array_sort(F.collect_list(F.struct("start_ts", "id", playlist_entry(fps).alias("entry")))).alias("x"))
     return rows.select("playlist_path", F.concat(F.lit(HEADER), F.array_join("x.entry", "")).alias("body"), F.size("x").cast("long").alias("n_segments"))
 
 

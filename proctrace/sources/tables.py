@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 FRAMES = "client_id string, frame_id bigint, ts timestamp, width int, height int, pipeline_ok boolean"
 COMMANDS = "client_id string, ts timestamp, cmd_id bigint, command string, task_id bigint, actor_id bigint"
+IMAGES = "path string, modificationTime timestamp, length bigint, content binary"
 MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 KEYPOINTS = "client_id string, task_id bigint, segment_start_us bigint, pos int, ts timestamp, x int, y int, bending_count bigint"
 
@@ -18,9 +19,13 @@ def read_frames(spark: SparkSession, path: str, streaming: bool = False, schema:
     return reader.schema(schema).parquet(path)
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Stored frame images with their content; the client is the folder that holds them."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+def read_images(spark: SparkSession, path: str, streaming: bool = False, schema: str = IMAGES) -> DataFrame:
+    """Stored frame images with their content; the client is the folder that holds them, the time that of the file's arrival.
+
+    As a stream, files that come later are rows of later batches.
+    """
+    reader = (spark.readStream.schema(schema) if streaming else spark.read).format("binaryFile")
+    files = reader.option("recursiveFileLookup", True).load(path)
     return files.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("client_id"), F.col("modificationTime").alias("ts"), "path", "content")
 
 
@@ -45,15 +50,16 @@ def register_views(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
-def write_keypoints(keypoints: DataFrame, root: str) -> None:
-    """JSON records of each segment, in order, in folders by client and task."""
+def write_keypoints(keypoints: DataFrame, root: str, batch_id: int = 0) -> None:
+    """JSON records of each segment, in order, in folders by batch, client and task; a batch written again replaces itself."""
     one = keypoints.withColumn("task", F.coalesce(F.col("task_id").cast("string"), F.lit("no_task")))
-    one.repartition("client_id", "task", "segment_start_us").sortWithinPartitions("client_id", "task", "segment_start_us", "pos").write.partitionBy("client_id", "task").option("ignoreNullFields", False).option("timestampFormat", MICROS).mode("append").json(root)
+    one = one.repartition("client_id", "task", "segment_start_us").sortWithinPartitions("client_id", "task", "segment_start_us", "pos")
+    one.write.partitionBy("client_id", "task").option("ignoreNullFields", False).option("timestampFormat", MICROS).mode("overwrite").json(f"{root}/batch_id={batch_id}")
 
 
 def read_keypoints(spark: SparkSession, root: str) -> DataFrame:
     fields = [f for f in KEYPOINTS.split(", ") if not f.startswith("client_id")]
-    return spark.read.schema(", ".join([*fields, "client_id string", "task string"])).json(root).drop("task")
+    return spark.read.schema(", ".join([*fields, "batch_id bigint", "client_id string", "task string"])).json(root).drop("task", "batch_id")
 
 
 def append_segments(batch: DataFrame, root: str, batch_id: int) -> None:

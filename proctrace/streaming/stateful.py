@@ -1,7 +1,9 @@
 """Streams with a small state for each client; each equals its batch operator on the same rows.
 
 Rows are put in order (ts, frame_id) within a micro-batch; across micro-batches arrival order
-rules. A row with ``removed`` true clears its client's state, as a client's leaving does.
+rules. Rows without a key or time are left out; a null flag counts as false. A row with ``removed``
+true clears its client's state, as a client's leaving does; with ``expiring`` so does time without
+rows.
 """
 
 from __future__ import annotations
@@ -12,9 +14,13 @@ from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-SEGMENT_SCHEMA = "client_id string, segment_no bigint, kind string, start_us bigint, end_us bigint, task_id bigint, n_frames bigint"
+SEGMENT_SCHEMA = (
+    "what string, id bigint, client_id string, task_id bigint, kind string, segment_no bigint, n_frames bigint, start_us bigint, end_us bigint, "
+    "segment_path string, playlist_path string, keypoints_path string, frame_id bigint, us bigint, pos int, result string"
+)
 THROTTLE_SCHEMA = "client_id string, frame_id bigint, us bigint"
 ASSIGNED_SCHEMA = "client_id string, frame_id bigint, raw_segment bigint, raw_pos int, ok_segment bigint, ok_pos int"
 LATEST_SCHEMA = "client_id string, no int, frame_id bigint, us bigint, result string"
@@ -29,9 +35,16 @@ class _Client(StatefulProcessor):
     state_schema = ""
     empty: tuple = ()
     order = ["us", "frame_id"]
+    clock = "None"
+    ttl_ms: int | None = None
+
+    def expiring(self, seconds: float) -> _Client:
+        """State that no row has written for so long goes (of a map, each entry by itself)."""
+        self.ttl_ms, self.clock = int(seconds * 1000), "ProcessingTime"
+        return self
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", self.state_schema)
+        self.state = handle.getValueState("state", self.state_schema, self.ttl_ms)
 
     def load(self) -> tuple:
         return tuple(self.state.get()) if self.state.exists() else self.empty
@@ -42,11 +55,13 @@ class _Client(StatefulProcessor):
         else:
             self.state.update(now)
 
+    def ordered(self, rows) -> Iterator:
+        return pd.concat(list(rows)).sort_values(self.order, kind="stable").itertuples(index=False)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
         now, out = self.load(), []
-        for row in batch.itertuples(index=False):
-            if getattr(row, "removed", False):
+        for row in self.ordered(rows):
+            if _yes(getattr(row, "removed", False)):
                 now = self.empty
             else:
                 now = self.fold(key[0], now, row, out)
@@ -69,26 +84,71 @@ def _task(x) -> int | None:
     return None if pd.isna(x) else int(x)
 
 
+def _yes(x) -> bool:
+    return not pd.isna(x) and bool(x)
+
+
 class Segments(_Client):
-    """Index rows as counts fill: state is the number of the chunk, its length so far and its start."""
+    """As a client's count fills, the segment's two index rows and a record for each of its frames.
+
+    ``what`` tells them apart (segment, record); index_rows and record_rows give each in its own
+    form. State is the segment's number and the frames since it began, with their ``result`` (JSON
+    text, if the rows have it).
+    """
 
-    state_schema = "n bigint, part bigint, start_us bigint"
-    empty = (0, 0, 0)
     columns = [c.split()[0] for c in SEGMENT_SCHEMA.split(", ")]
 
     def __init__(self, length: int):
         self.length = length
 
-    def fold(self, client, now, row, out):
-        n, part, start = now
-        if not row.pipeline_ok:
-            return now
-        start = row.us if part == 0 else start
-        part += 1
-        if part < self.length:
-            return n, part, int(start)
-        out += [(client, n, kind, start, row.us, _task(row.task_id), part) for kind in ("raw", "processed")]
-        return n + 1, 0, 0
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.head = handle.getValueState("head", "n bigint, held bigint", self.ttl_ms)
+        self.frames = handle.getListState("frames", "frame_id bigint, us bigint, result string", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        n, stored = (int(x) for x in self.head.get()) if self.head.exists() else (0, 0)
+        new, fresh, out = [], False, []
+        for row in self.ordered(rows):
+            if _yes(getattr(row, "removed", False)):
+                n, stored, new, fresh = 0, 0, [], True
+            elif _yes(row.pipeline_ok):
+                new.append((int(row.frame_id), int(row.us), getattr(row, "result", None)))
+                if stored + len(new) == self.length:
+                    frames = [tuple(x) for x in self.frames.get()] + new if stored else new
+                    out += self.rows(key[0], n, _task(row.task_id), frames)
+                    n, stored, new, fresh = n + 1, 0, [], True
+        if fresh:
+            self.frames.clear()
+        if new:
+            self.frames.appendList(new)
+        if (n, stored + len(new)) == (0, 0):
+            self.head.clear()
+        else:
+            self.head.update((n, stored + len(new)))
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
+
+    @staticmethod
+    def rows(client: str, n: int, task: int | None, frames: list[tuple]) -> Iterator[tuple]:
+        start, end, last = frames[0][1], frames[-1][1], frames[-1][0]
+        folder = f"{client}/{'no_task' if task is None else task}/hls"
+        for kind in ("raw", "processed"):
+            stored = kind == "processed"
+            paths = (f"{folder}/{kind}_segment_{start}.mp4", f"{folder}/{kind}_playlist.m3u8", f"{folder}/keypoints_{start}.json" if stored else None)
+            yield ("segment", 2 * last + stored, client, task, kind, n, len(frames), start, end, *paths, None, None, None, None)
+        for pos, (frame_id, us, result) in enumerate(frames):
+            yield ("record", 2 * last + 1, client, task, None, n, None, start, None, None, None, None, frame_id, us, pos, result)
+
+
+def index_rows(rows: DataFrame) -> DataFrame:
+    """Of the rows of Segments those of the index, as ``frames.segments`` gives them."""
+    times = [F.timestamp_micros(f"{c}_us").alias(f"{c}_ts") for c in ("start", "end")]
+    return rows.where("what = 'segment'").select("id", "client_id", "task_id", "kind", "segment_no", "n_frames", *times, "segment_path", "playlist_path", "keypoints_path")
+
+
+def record_rows(rows: DataFrame) -> DataFrame:
+    """Of the rows of Segments the frames' records, as ``frames.keypoint_frames`` gives them."""
+    return rows.where("what = 'record'").select("client_id", "task_id", F.col("id").alias("segment_id"), "segment_no", F.col("start_us").alias("segment_start_us"), "pos", "frame_id", F.timestamp_micros("us").alias("ts"), "result")
 
 
 class Throttle(_Client):
@@ -119,15 +179,17 @@ class SegmentFrames(_Client):
 
     def fold(self, client, now, row, out):
         raw, ok = now
-        place = divmod(ok, self.length) if row.pipeline_ok else (None, None)
+        good = _yes(row.pipeline_ok)
+        place = divmod(ok, self.length) if good else (None, None)
         out.append((client, row.frame_id, *divmod(raw, self.length), *place))
-        return raw + 1, ok + int(row.pipeline_ok)
+        return raw + 1, ok + good
 
 
 class Latest(_Client):
     """The newest n processed frames with their results, newest first, after each batch; state is their list.
 
-    Rows have ``result`` as text (JSON). For output mode update.
+    Rows have ``result`` as text (JSON). A client that left gives one row with the number 0. For output
+    mode update.
     """
 
     state_schema = "frame_id bigint, us bigint, result string"
@@ -137,7 +199,7 @@ class Latest(_Client):
         self.n = n
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getListState("newest", self.state_schema)
+        self.state = handle.getListState("newest", self.state_schema, self.ttl_ms)
 
     def load(self) -> tuple:
         return tuple(tuple(x) for x in self.state.get())
@@ -149,12 +211,12 @@ class Latest(_Client):
             self.state.clear()
 
     def fold(self, client, now, row, out):
-        if not row.pipeline_ok:
+        if not _yes(row.pipeline_ok):
             return now
         return (*now, (int(row.frame_id), int(row.us), row.result))[-self.n :]
 
     def finish(self, client, now, out):
-        return [(client, no, *x) for no, x in enumerate(reversed(now), 1)]
+        return [(client, no, *x) for no, x in enumerate(reversed(now), 1)] or [(client, 0, None, None, None)]
 
 
 class RunningCounts(_Client):
@@ -166,13 +228,46 @@ class RunningCounts(_Client):
 
     def fold(self, client, now, row, out):
         motion, bent = now
-        if not row.pipeline_ok:
+        if not _yes(row.pipeline_ok):
             return now
-        bent += int(row.bent)
+        bent += _yes(row.bent)
         out.append((row.client_id, row.frame_id, int(client), motion + bent, motion + 1 + bent))
         return motion + 1, bent
 
 
+class ClientCounts(_Client):
+    """Motion and bent counts of each task, under the client, so that a client that leaves takes all its tasks' counts along.
+
+    State is a map from task to counts. Frames without a task count nothing.
+    """
+
+    columns = RunningCounts.columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getMapState("counts", "task_id bigint", "motion bigint, bent bigint", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        seen, out = {}, []
+        for row in self.ordered(rows):
+            if _yes(getattr(row, "removed", False)):
+                self.state.clear()
+                seen = {}
+            elif _yes(row.pipeline_ok):
+                task = _task(row.task_id)
+                if task is None:
+                    out.append((key[0], row.frame_id, None, 0, 0))
+                    continue
+                if task not in seen:
+                    seen[task] = tuple(self.state.getValue((task,))) if self.state.containsKey((task,)) else (0, 0)
+                motion, bent = seen[task][0], seen[task][1] + _yes(row.bent)
+                out.append((key[0], row.frame_id, task, motion + bent, motion + 1 + bent))
+                seen[task] = (motion + 1, bent)
+        for task, counts in seen.items():
+            self.state.updateValue((task,), counts)
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
+
+
 class TaskStatus(_Client):
     """The client's current task and its status, after each batch of commands that changes it."""
 
@@ -232,6 +327,43 @@ class StatusFeed(_Client):
         return json.dumps(fields, separators=(",", ":"))
 
 
-def stateful(rows: DataFrame, processor: StatefulProcessor, schema: str, key: str = "client_id", mode: str = "append") -> DataFrame:
+class StatusClock(StatusFeed):
+    """The status message of each second from a timer, for every client that any row was of, until a ``removed`` row.
+
+    Rows are those of StatusFeed without ticks; one of the kind hello makes a client known that has
+    no task. A message's time is its timer's.
+    """
+
+    clock = "ProcessingTime"
+
+    def __init__(self, seconds: float = 1.0):
+        self.step = int(seconds * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now, left = self.load(), False
+        for row in self.ordered(rows):
+            left = _yes(getattr(row, "removed", False))
+            now = self.empty if left else now if row.kind == "hello" else self.fold(key[0], now, row, [])
+        self.save(now)
+        timers = list(self.handle.listTimers())
+        if left:
+            for t in timers:
+                self.handle.deleteTimer(t)
+        elif not timers:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.step)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        self.handle.registerTimer(max(due, timerValues.getCurrentProcessingTimeInMs()) + self.step)
+        yield pd.DataFrame([(key[0], due * 1000, self.message(self.load()))], columns=self.columns)
+
+
+def stateful(rows: DataFrame, processor: _Client, schema: str, key: str = "client_id", mode: str = "append") -> DataFrame:
     """rows: a stream with the key, ``us`` (ts in microseconds) and the processor's columns. Needs the RocksDB state store."""
-    return rows.groupBy(key).transformWithStateInPandas(processor, outputStructType=schema, outputMode=mode, timeMode="None")
+    known = rows.where(F.col(key).isNotNull() & F.col("us").isNotNull())
+    return known.groupBy(key).transformWithStateInPandas(processor, outputStructType=schema, outputMode=mode, timeMode=processor.clock)
