@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -177,6 +177,16 @@ def jaccard_classes(docs: DataFrame, *, n: int = 3, num: int = 9, den: int = 10,
         by_band[b] = by_band.get(b, 0) + r["n"]
     bands = allocate(starts, by_band, num, den)
 
+    return classes(base, n, num, den, lambda texts: _members(texts, starts, bands, n, num, den))
+
+
+def classes(base: DataFrame, n: int, num: int, den: int, members: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The classes of base (doc_id, text, text_key), whatever finds the candidates.
+
+    members: from the distinct sets' (node, text) to a staged table (sig, node), in which similar
+    sets share a signature.
+    """
+
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
             rows = []
@@ -194,7 +204,7 @@ def jaccard_classes(docs: DataFrame, *, n: int = 3, num: int = 9, den: int = 10,
     leads = nodes.select("node", F.col("lead.doc_id").alias("doc_id"), F.col("lead.text_key").alias("text_key"))
     # each distinct set once; rows that the table repeats come in pairs of the same id and text
     texts = stage(base.join(leads, same_row(base, leads)).select("node", "text").dropDuplicates(["node"]), "jac-texts")
-    links = _links(texts, starts, bands, n, num, den)
+    links = _links(texts, members(texts), n, num, den)
     discard(texts)
     roots = components(links)
     named = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
@@ -239,9 +249,8 @@ def _members(texts: DataFrame, starts: list[int], bands: list[Band], n: int, num
     return kept
 
 
-def _links(texts: DataFrame, starts: list[int], bands: list[Band], n: int, num: int, den: int) -> DataFrame:
-    """(a, b): verified links that join all nodes of a class."""
-    kept = _members(texts, starts, bands, n, num, den)
+def _links(texts: DataFrame, kept: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(a, b): verified links that join all nodes of a class. kept: (sig, node), used up."""
     pivots = kept.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot < other").drop("other")
     members = stage(kept.join(pivots, "sig"), "jac-members")
     discard(kept)
@@ -340,7 +349,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     found = stage(jaccard_classes(docs, id_col=id_col, text_col=text_col, **options), "jac-rows")
     lead = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("text_key").alias("text_key"))
     many = found.where("n_shingles > 0 and component_id is not null").groupBy("component_id").agg(F.min(lead).alias("lead"), F.count("*").alias("n")).where("n > 1")
-    gone = stage(found.where("n_shingles > 0"), "jac-live").join(stage(many, "jac-many"), "component_id").where(~(F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("text_key") == F.col("lead.text_key"))))
+    gone = found.where("n_shingles > 0").join(stage(many, "jac-many"), "component_id").where(~(F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("text_key") == F.col("lead.text_key"))))
     own_id, own_key = unused(docs, "own_id", "own_key")
     gone = gone.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key)).distinct()
     return docs.join(gone, docs[id_col].eqNullSafe(gone[own_id]) & (text_key(docs[text_col]) == gone[own_key]), "left_anti")

@@ -57,3 +57,5 @@ kept AS (SELECT c.doc_id, string_agg(substr(h, CAST(2 * since + 1 AS BIGINT), CA
 SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(runs, 0) AS BIGINT) AS n_spans, sha256(unhex(CASE WHEN gone IS NULL THEN h ELSE pieces || substr(h, CAST(2 * high + 1 AS BIGINT)) END)) AS kept_sha256
 FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
+
+MINHASH = JACCARD.replace("least(3, len(w))", "least(2, len(w))").replace("100 * common >= 90 *", "100 * common >= 80 *").replace("AS component_id FROM d", "AS component_id, d.doc_id = least(d.doc_id, coalesce(r.least, d.doc_id)) AS kept FROM d")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proctrace.llm import ann, decontamination, jaccard, lines, mixing, oracles, pii, secrets, substrings, toxicity, warc
+from proctrace.llm import ann, decontamination, jaccard, lines, minhash, mixing, oracles, pii, secrets, substrings, toxicity, warc
 from proctrace.llm.common import new_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,4 +85,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op6_line_dedup"] = op6_line_dedup
 
-ORACLES |= {"op1_warc_reassembly": oracles.WARC, "op3_decontaminate": oracles.DECONTAMINATION, "op4_ngram_jaccard": oracles.JACCARD, "op6_line_dedup": oracles.LINES, "op10_repeated_bytes": oracles.SUBSTRINGS}
+
+
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+QUERIES["op13_minhash_dedup"] = op13_minhash_dedup
+
+ORACLES |= {"op1_warc_reassembly": oracles.WARC, "op3_decontaminate": oracles.DECONTAMINATION, "op4_ngram_jaccard": oracles.JACCARD, "op6_line_dedup": oracles.LINES, "op10_repeated_bytes": oracles.SUBSTRINGS, "op13_minhash_dedup": oracles.MINHASH}
