@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proctrace.llm import ann, decontamination, jaccard, lines, minhash, mixing, oracles, pii, secrets, substrings, toxicity, warc
+from proctrace.llm import ann, decontamination, jaccard, lines, minhash, mixing, negatives, oracles, pii, ranking, secrets, substrings, toxicity, warc
 from proctrace.llm.common import new_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,20 @@ def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+QUERIES["op11_hard_negatives"] = op11_hard_negatives
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op12_ranked_search"] = op12_ranked_search
 QUERIES["op13_minhash_dedup"] = op13_minhash_dedup
 
-ORACLES |= {"op1_warc_reassembly": oracles.WARC, "op3_decontaminate": oracles.DECONTAMINATION, "op4_ngram_jaccard": oracles.JACCARD, "op6_line_dedup": oracles.LINES, "op10_repeated_bytes": oracles.SUBSTRINGS, "op13_minhash_dedup": oracles.MINHASH}
+ORACLES |= {"op1_warc_reassembly": oracles.WARC, "op3_decontaminate": oracles.DECONTAMINATION, "op4_ngram_jaccard": oracles.JACCARD, "op6_line_dedup": oracles.LINES, "op10_repeated_bytes": oracles.SUBSTRINGS, "op11_hard_negatives": oracles.NEGATIVES, "op12_ranked_search": oracles.RANKING, "op13_minhash_dedup": oracles.MINHASH}
