@@ -177,35 +177,46 @@ def jaccard_classes(docs: DataFrame, *, n: int = 3, num: int = 9, den: int = 10,
         by_band[b] = by_band.get(b, 0) + r["n"]
     bands = allocate(starts, by_band, num, den)
 
-    return classes(base, n, num, den, lambda texts: _members(texts, starts, bands, n, num, den))
+    def links_of(sets: DataFrame, leads: DataFrame) -> DataFrame:
+        # each distinct set once; rows that the table repeats come in pairs of the same id and text
+        texts = stage(base.join(leads, same_row(base, leads)).select("node", "text").dropDuplicates(["node"]), "jac-texts")
+        kept = _members(texts, starts, bands, n, num, den)
+        links = _links(kept, kept, lambda involved: texts.join(involved, "node", "left_semi"), n, num, den)
+        discard(texts)
+        return links
 
+    return classes(base, n, links_of)
 
-def classes(base: DataFrame, n: int, num: int, den: int, members: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The classes of base (doc_id, text, text_key), whatever finds the candidates.
 
-    members: from the distinct sets' (node, text) to a staged table (sig, node), in which similar
-    sets share a signature.
+def classes(base: DataFrame, n: int, links_of: Callable[[DataFrame, DataFrame], DataFrame], bands_of: Callable[[list[np.ndarray]], pa.Array] | None = None) -> DataFrame:
+    """The classes of base (doc_id, text, text_key) by links of nodes, which are distinct sets.
+
+    links_of: from the rows' sets (with bands, a column of longs that bands_of makes of sets, if
+    given) and each node's leading row (node, doc_id, text_key) to links (a, b).
     """
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
-            rows = []
+            rows, found = [], []
             for text in binaries(part["text"]):
                 s = shingles(text, n)
                 total = int(mix(s).sum(dtype=np.uint64)) if len(s) else 0
                 second = int(mix(s ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)) if len(s) else 0
                 rows.append((len(s), *mix(np.array([total, second], np.uint64) + np.uint64(len(s))).view(np.int64).tolist()))
-            yield pa.RecordBatch.from_arrays([part["doc_id"], part["text_key"], *[pa.array(c, pa.int64()) for c in zip(*rows)]], names=["doc_id", "text_key", "n_shingles", "node", "node2"])
+                found.append(s)
+            columns = [part["doc_id"], part["text_key"], *[pa.array(c, pa.int64()) for c in zip(*rows)]]
+            names = ["doc_id", "text_key", "n_shingles", "node", "node2"]
+            if bands_of:
+                columns, names = [*columns, bands_of(found)], [*names, "bands"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     id_type = base.schema["doc_id"].dataType.simpleString()
-    sets = stage(base.mapInArrow(describe, f"doc_id {id_type}, text_key long, n_shingles long, node long, node2 long"), "jac-rows")
+    schema = f"doc_id {id_type}, text_key long, n_shingles long, node long, node2 long" + (", bands array<long>" if bands_of else "")
+    sets = stage(base.mapInArrow(describe, schema), "jac-rows")
     lead = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     nodes = stage(sets.where("n_shingles > 0").groupBy("node", "node2", "n_shingles").agg(F.min(lead).alias("lead"), F.min("doc_id").alias("least")), "jac-nodes")
     leads = nodes.select("node", F.col("lead.doc_id").alias("doc_id"), F.col("lead.text_key").alias("text_key"))
-    # each distinct set once; rows that the table repeats come in pairs of the same id and text
-    texts = stage(base.join(leads, same_row(base, leads)).select("node", "text").dropDuplicates(["node"]), "jac-texts")
-    links = _links(texts, members(texts), n, num, den)
-    discard(texts)
+    links = links_of(sets, leads)
     roots = components(links)
     named = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     class_id = stage(named.groupBy("root").agg(F.min("least").alias("class_id")), "jac-class")
@@ -249,11 +260,14 @@ def _members(texts: DataFrame, starts: list[int], bands: list[Band], n: int, num
     return kept
 
 
-def _links(texts: DataFrame, kept: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(a, b): verified links that join all nodes of a class. kept: (sig, node), used up."""
+def _links(kept: DataFrame, source: DataFrame, texts_of: Callable[[DataFrame], DataFrame], n: int, num: int, den: int) -> DataFrame:
+    """(a, b): verified links that join all nodes of a class.
+
+    kept: (sig, node), from the staged table source, which is used up. texts_of: from nodes to their (node, text).
+    """
     pivots = kept.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot < other").drop("other")
     members = stage(kept.join(pivots, "sig"), "jac-members")
-    discard(kept)
+    discard(source)
     involved = stage(members.select("node").distinct(), "jac-involved")
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +276,7 @@ def _links(texts: DataFrame, kept: DataFrame, n: int, num: int, den: int) -> Dat
             found = [shingles(t, n) for t in binaries(part["text"])]
             yield pa.RecordBatch.from_arrays([part["node"], pa.array([len(s) for s in found], pa.int64()), pa.array([sketch(s) for s in found], pa.list_(pa.int64())), pa.array([wide_sketch(s) for s in found], pa.binary()), pa.array(map(pack, binaries(part["text"])), pa.binary())], names=["node", "size", "sketch", "wide", "packed"])
 
-    sets = stage(texts.join(involved, "node", "left_semi").mapInArrow(elements, "node long, size long, sketch array<long>, wide binary, packed binary"), "jac-elements")
+    sets = stage(texts_of(involved).mapInArrow(elements, "node long, size long, sketch array<long>, wide binary, packed binary"), "jac-elements")
     discard(involved)
     sizes = sets.select("node", "size", "sketch")
     pairs = members.where("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n_sigs"))
@@ -278,13 +292,17 @@ def _links(texts: DataFrame, kept: DataFrame, n: int, num: int, den: int) -> Dat
     roots = components(links)
     tagged = members.join(roots, "node", "left").select("sig", "node", "pivot", F.coalesce("root", "node").alias("root"))
     mixed = tagged.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high and n > 2").select("sig")
-    tagged = stage(tagged.join(mixed, "sig").join(sizes, "node"), "jac-open")
+    opened = tagged = stage(tagged.join(mixed, "sig"), "jac-open")
     discard(members)
-    left = tagged.select("sig", F.col("node").alias("a"), F.col("pivot"), F.col("root").alias("ra"), F.col("size").alias("sa"), F.col("sketch").alias("ka"))
-    right = tagged.select("sig", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"), F.col("sketch").alias("kb"))
-    cross = left.join(right, "sig").where("a < b and ra <> rb and a <> pivot").where(_hope(num, den)).select("a", "b").distinct()
+    own = tagged.groupBy("node").agg(F.collect_set("sig").alias("sigs"))
+    tagged = tagged.join(own, "node").join(sizes, "node")
+    left = tagged.select("sig", F.col("node").alias("a"), F.col("pivot"), F.col("root").alias("ra"), F.col("size").alias("sa"), F.col("sketch").alias("ka"), F.col("sigs").alias("ga"))
+    right = tagged.select("sig", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"), F.col("sketch").alias("kb"), F.col("sigs").alias("gb"))
+    # a pair comes from one of the signatures that it shares
+    once = F.col("sig") == F.array_min(F.array_intersect("ga", "gb"))
+    cross = left.join(right, "sig").where("a < b and ra <> rb and a <> pivot").where(_hope(num, den) & once).select("a", "b").distinct()
     links = links.unionByName(_verified(cross, sets, n, num, den))
-    discard(tagged, sets)
+    discard(opened, sets)
     return links
 
 

@@ -21,16 +21,14 @@ an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proctrace.llm import jaccard
-from proctrace.llm.bytes import binaries, mix
-from proctrace.llm.common import stage, text_key
+from proctrace.llm.bytes import mix
+from proctrace.llm.common import same_row, stage, text_key
 
 
 def band_values(sets: list[np.ndarray], rows: int, groups: int, seed: int = 7) -> np.ndarray:
@@ -56,13 +54,21 @@ def near_duplicates(docs: DataFrame, *, n: int = 2, num: int = 4, den: int = 5,
     """(doc_id, text_key, n_shingles, component_id, kept), a row per document; linked at similarity num / den."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("text_key"))
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in jaccard._parts(batches):
-            values = band_values([jaccard.shingles(t, n) for t in binaries(part["text"])], rows, groups)
-            yield pa.RecordBatch.from_arrays([pa.array(values.ravel().view(np.int64)), pa.array(np.repeat(part["node"].to_numpy(), 2 * groups))], names=["sig", "node"])
+    def bands_of(sets: list[np.ndarray]) -> pa.Array:
+        full = [s for s in sets if len(s)]
+        values = band_values(full, rows, groups).ravel().view(np.int64) if full else np.zeros(0, np.int64)
+        ends = np.concatenate(([0], np.cumsum([2 * groups * (len(s) > 0) for s in sets])))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+
+    def links_of(sets: DataFrame, leads: DataFrame) -> DataFrame:
+        each = stage(sets.where("n_shingles > 0").groupBy("node").agg(F.first("bands").alias("bands")), "mh-bands")
+
+        def texts_of(involved: DataFrame) -> DataFrame:
+            some = leads.join(involved, "node", "left_semi")
+            # texts are sorted into place at any size; no table of ids is sent to all tasks
+            return base.join(some.hint("merge"), same_row(base, some)).select("node", "text").dropDuplicates(["node"])
 
-    def members(texts: DataFrame) -> DataFrame:
-        return stage(texts.mapInArrow(index, "sig long, node long"), "mh-index")
+        return jaccard._links(each.select(F.explode("bands").alias("sig"), "node"), each, texts_of, n, num, den)
 
-    found = jaccard.classes(base, n, num, den, members)
+    found = jaccard.classes(base, n, links_of, bands_of)
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
