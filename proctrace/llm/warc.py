@@ -147,11 +147,17 @@ def _inflated(archive: bytes) -> tuple[bytes, str | None]:
         return b"".join(out), "compressed data is broken"
 
 
-def _number(x: str | None) -> int | None:
+def _number(x: str | None, bits: int = 63) -> int | None:
+    """None for what isn't a whole number of so many bits and a sign."""
     try:
-        return None if x is None else int(x)
+        n = None if x is None else int(x)
     except ValueError:
         return None
+    return n if n is not None and -(1 << bits) <= n < 1 << bits else None
+
+
+def _segment_number(head: dict[str, str]) -> int | None:
+    return _number(head.get("WARC-Segment-Number"), 31)
 
 
 def _head(raw: bytes) -> dict[str, str] | None:
@@ -187,7 +193,7 @@ def _origin(head: dict[str, str]) -> str | None:
 
 
 def _is_segment(head: dict[str, str]) -> bool:
-    return DAMAGE not in head and _number(head.get("WARC-Segment-Number")) is not None and _origin(head) is not None
+    return DAMAGE not in head and _segment_number(head) is not None and _origin(head) is not None
 
 
 def _is_whole(head: dict[str, str]) -> bool:
@@ -246,7 +252,7 @@ def read_archives(spark: SparkSession, path: str, *, keep_payload: bool = True)
                 rows = []
                 for h, b in _parse(content):
                     if _is_segment(h):
-                        number = _number(h["WARC-Segment-Number"])
+                        number = _segment_number(h)
                         rows.append((_origin(h), number, _number(h.get("WARC-Segment-Total-Length")), h if number == 1 else None, b))
                 yield pd.DataFrame(rows, columns=["origin", "number", "total", "head", "block"]).astype({"number": "int32", "total": "Int64"})
 

@@ -1,3 +1,4 @@
+import gzip
 """Archives, mixing, neighbours, toxicity and the pipeline."""
 
 import base64
@@ -64,9 +65,31 @@ def test_broken_segments_are_reported():
         warc.dechunked(b"5\r\nabc")
 
 
+def test_numbers_beyond_their_range(spark, tmp_path):
+    """Such a page id is none, such a segment number or length is damage; neither stops the job or turns into another number."""
+    digest, block = warc.base32_sha1(b"x"), b"HTTP/1.1 200 OK\r\n\r\nx"
+    record = lambda *more, kind="response", body=block: warc._record([("WARC-Type", kind), ("WARC-Record-ID", f"<{more}>"), ("WARC-Payload-Digest", f"sha1:{digest}"), *more], body)
+    huge, wraps = str(10**30 + 7), "100000000000"
+    records = [
+        record(("X-Page-ID", huge)),
+        record(("X-Page-ID", 2), ("WARC-Segment-Number", wraps)),
+        record(("X-Page-ID", 3), ("WARC-Segment-Number", (1 << 32) + 1), ("WARC-Segment-Total-Length", len(block))),
+        record(("X-Page-ID", 4), ("WARC-Segment-Number", 1), ("WARC-Segment-Total-Length", huge)),
+        record(("X-Page-ID", 5), ("X-Refers-To-Page-ID", huge), kind="revisit", body=b"HTTP/1.1 200 OK\r\nContent-Length: 7\r\n\r\n"),
+        record(("X-Page-ID", 6), kind="revisit", body=b"HTTP/1.1 200 OK\r\nContent-Length: " + huge.encode() + b"\r\n\r\n"),
+        record(("X-Page-ID", 7)),
+        record(("X-Page-ID", 8)).replace(b"Content-Length: %d" % len(block), b"Content-Length: " + huge.encode()),
+        record(("X-Page-ID", 9)),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r + b"\r\n\r\n") for r in records))
+    got = {(r["page_id"], r["payload_bytes"], r["refers_to"], r["problem"]) for r in warc.read_archives(spark, str(tmp_path)).collect()}
+    bad = "segment has no number or origin"
+    assert {(None, 1, None, None), (2, None, None, bad), (3, None, None, bad), (4, None, None, "total length differs"), (5, 7, None, None), (6, None, None, "revisit has no length"), (7, 1, None, None), (9, 1, None, None)} <= got
+    assert not [x for x in got if x[0] == 8 and x[3] is None]
+
+
 def test_broken_records_are_rows_with_a_problem(spark, tmp_path):
     """One bad record or archive costs neither the job nor the records around it."""
-    import gzip
 
     def record(i, payload=b"good", **change):
         (one,) = warc._records(i, "u", payload, None, 10_000, 300)
