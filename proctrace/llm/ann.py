@@ -1,14 +1,20 @@
 """Nearest neighbours by inner product: inverted file with product-quantised residuals.
 
 Fit (bounded): the ``sample`` distinct vectors of least hash go to the driver, sample * dimension
-numbers, for the coarse centroids and the codebooks of residuals. Everything else is Spark:
-every distinct vector is assigned to its nearest centroid's list and encoded; queries go to the
-``probes`` lists of largest inner product with the centroid; within a list, asymmetric distance
-tables rank its codes, the best ``rerank`` are scored exactly in double precision on the
-original vectors, and the best of all lists are merged.
-
-Lists are dealt in blocks of bounded size, lists * queries alike, so a dense list is many
-groups. Copies of a vector are one entry with its smallest k + 1 ids (more can't be among
+numbers, for the coarse centroids and the codebooks of residuals; there are as many lists as the
+square root of the distinct vectors, at most ``most_lists``. Everything else is Spark: every distinct
+vector is assigned to its nearest centroid's list and encoded; a query goes to that share of the
+lists (``share``) whose centroids have the largest inner product with it, and to more while these
+hold fewer than ``rerank`` entries. Asymmetric distance tables score the codes of its lists, the best
+``rerank`` of all lists together are joined with their vectors by id and scored exactly in double
+precision. Up to there, rows of the index carry codes and ids only.
+
+Lists are packed into shelves of at most ``list_block`` entries, a list of more is dealt to several,
+and a query goes once to each shelf that holds lists of its own; a task takes one shelf and one block
+of queries. What is found is approximate, by ``share`` and ``rerank``: with share = 1 and rerank no
+less than the distinct vectors it is exact.
+
+Copies of a vector are one entry with its smallest k + 1 ids (more can't be among
 the k nearest), and equal queries are searched once.
 
 Defined cases: null, empty and zero vectors, and those with null or non-finite components, take
@@ -66,24 +72,51 @@ class Index:
         residuals = x - self.coarse[near]
         return near, np.stack([_nearest(residuals[:, c], b) for c, b in zip(self.cuts, self.books)], axis=1).astype(np.uint8)
 
-    def probes(self, q: np.ndarray, n: int) -> np.ndarray:
-        score = q @ self.coarse.T
-        return np.argsort(-score, axis=1, kind="stable")[:, :n]
+    def probes(self, q: np.ndarray, share: float, held: np.ndarray, least: int) -> np.ndarray:
+        """Which lists each query goes to; ``held`` are the lists' entries, at least ``least`` of which it meets."""
+        order = np.argsort(-(q @ self.coarse.T), axis=1, kind="stable")
+        before = np.cumsum(held[order], axis=1) - held[order]
+        out = np.zeros(order.shape, bool)
+        np.put_along_axis(out, order, (np.arange(order.shape[1]) < share * order.shape[1]) | (before < least), axis=1)
+        return out
 
-    def approximate(self, q: np.ndarray, of: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric scores of the codes of list ``of`` for each query: table look-ups summed over parts."""
-        out = np.repeat((q @ self.coarse[of])[:, None], len(codes), axis=1)
+    def tables(self, q: np.ndarray) -> np.ndarray:
+        """Inner products of each query's parts with each part's codewords: (part, code, query)."""
+        out = np.zeros((len(self.books), 256, len(q)), np.float32)
         for m, (c, b) in enumerate(zip(self.cuts, self.books)):
-            out += (q[:, c] @ b.T)[:, codes[:, m]]
+            out[m, : len(b)] = b @ q[:, c].T
+        return out
+
+    def approximate(self, base: np.ndarray, tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Asymmetric scores of one list's codes, (code, query): the centroid's product and look-ups summed over parts."""
+        out = np.repeat(base[None, :].astype(np.float32), len(codes), axis=0)
+        for m, table in enumerate(tables):
+            out += table[codes[:, m]]
         return out
 
 
+def shelves(held: dict[int, int], block: int) -> list[tuple[int, int, int]]:
+    """(list, first shelf, shelves it is dealt to): neighbouring lists share a shelf while they fit."""
+    out, shelf, room = [], -1, 0
+    for of, n in sorted(held.items()):
+        if n > block:
+            pieces = -(-n // block)
+            out.append((of, shelf + 1, pieces))
+            shelf, room = shelf + pieces, 0
+            continue
+        if n > room:
+            shelf, room = shelf + 1, block
+        out.append((of, shelf, 1))
+        room -= n
+    return out
+
+
 def usable(vec: Column) -> Column:
     bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return vec.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(vec, lambda x: x != 0)
 
 
-def search(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, sample: int = 20_000, lists: int = 64, probes: int = 54, parts: int = 16, codes: int = 256, rerank: int = 512, list_block: int = 8_192, query_block: int = 2_048) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, sample: int = 20_000, most_lists: int = 1_024, share: float = 0.75, parts: int = 32, codes: int = 256, rerank: int = 105, list_block: int = 65_536, query_block: int = 2_048) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of each row for which ``queries``, a condition on vec_id, holds."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vec")).where(F.col("vec_id").isNotNull() & usable(F.col("vec")))
     dims = rows.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1).collect()
@@ -97,61 +130,90 @@ def search(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vecto
     entries = stage(first.groupBy("key", "vec").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")), "ann-entries")
     asked = stage(rows.where(queries).select(F.col("vec_id").alias("query_id"), "key", "vec").distinct(), "ann-queries")
 
+    searched = stage(asked.groupBy("key", "vec").agg(F.min("query_id").alias("qid")).withColumnRenamed("key", "qkey"), "ann-searched")
+
+    n = entries.count()
     drawn = entries.select("key", "vec").orderBy("key").limit(sample).toPandas()
-    index = Index(np.array(drawn["vec"].tolist()), lists, parts, codes)
+    lists = max(1, min(most_lists, round(n**0.5)))
+    index = Index(np.array(drawn["vec"].tolist()).reshape(len(drawn), dims[0]["dim"]), lists, parts, codes)
+    rerank = max(rerank, k + 1)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 near, code = index.encode(np.array(b["vec"].tolist()))
-                yield pd.DataFrame({"list": near, "code": [c.tobytes() for c in code], "ids": b["ids"], "vec": b["vec"]})
+                yield pd.DataFrame({"list": near, "code": [c.tobytes() for c in code], "key": b["key"], "least": b["least"]})
+
+    least = entries.select("key", F.col("ids")[0].alias("least"), "vec")
+    encoded = stage(least.mapInPandas(encode, "list int, code binary, key long, least long"), "ann-index")
+
+    # as many rows as there are lists; from here on entries are codes and ids
+    held = {r["list"]: r["count"] for r in encoded.groupBy("list").count().collect()}
+    sizes = np.array([held.get(i, 0) for i in range(len(index.coarse))])
+    places = shelves(held, list_block)
+    by_shelf: dict[int, list[int]] = {}
+    for of, first_shelf, pieces in places:
+        for p in range(pieces):
+            by_shelf.setdefault(first_shelf + p, []).append(of)
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if len(b):
-                found = index.probes(np.array(b["vec"].tolist()), probes)
-                n = found.shape[1]
-                yield pd.DataFrame({"list": found.ravel(), "qkey": np.repeat(b["key"].to_numpy(), n), "qvec": [v for v in b["vec"] for _ in range(n)]})
-
-    encoded = stage(entries.mapInPandas(encode, "list long, code binary, ids array<long>, vec array<double>"), "ann-index")
-    probed = stage(asked.select("key", "vec").distinct().mapInPandas(probe, "list long, qkey long, qvec array<double>"), "ann-probes")
-
-    # blocks of each list, of entries and of queries; as many rows as there are lists
-    left = encoded.groupBy("list").agg(F.ceil(F.count("*") / list_block).cast("int").alias("n"))
-    right = probed.groupBy("list").agg(F.ceil(F.count("*") / query_block).cast("int").alias("m"))
-    blocks = F.broadcast(stage(left.join(right, "list"), "ann-blocks"))
-    deal = lambda n, *by: F.pmod(F.xxhash64(*by), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    items = encoded.join(blocks, "list").withColumn("i", deal("n", "vec")).withColumn("j", every("m")).drop("n", "m")
-    wants = probed.join(blocks, "list").withColumn("j", deal("m", "qvec")).withColumn("i", every("n")).drop("n", "m")
-
-    def rank(key: tuple, some: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
+            if not len(b):
+                continue
+            asks = index.probes(np.array(b["vec"].tolist()), share, sizes, rerank)
+            raw = [np.asarray(v, float).tobytes() for v in b["vec"]]
+            for shelf, of in by_shelf.items():
+                who = np.flatnonzero(asks[:, of].any(axis=1))
+                if len(who):
+                    lists_of = [[of[j] for j in np.flatnonzero(a)] for a in asks[np.ix_(who, of)]]
+                    yield pd.DataFrame({"shelf": shelf, "qkey": b["qkey"].to_numpy()[who], "qid": b["qid"].to_numpy()[who], "qvec": [raw[i] for i in who], "lists": lists_of})
+
+    # blocks of queries: of bounded size, and enough for all tasks while each has some queries
+    asking, tasks = searched.count(), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    queries_by = max(1, -(-asking // query_block), min(tasks, asking // 64))
+    shelf_of = F.broadcast(vectors.sparkSession.createDataFrame(places, "list int, first int, pieces int"))
+    items = encoded.join(shelf_of, "list").withColumn("shelf", F.col("first") + F.pmod(F.xxhash64("key", "least"), F.col("pieces")).cast("int"))
+    items = items.select("shelf", F.explode(F.sequence(F.lit(0), F.lit(queries_by - 1))).alias("j"), "list", "code", "key", "least")
+    wants = searched.mapInPandas(probe, "shelf int, qkey long, qid long, qvec binary, lists array<int>").withColumn("j", F.pmod(F.xxhash64("qkey", "qid"), F.lit(queries_by)).cast("int"))
+
+    def rank(some: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
+        columns = ["qkey", "qid", "key", "least", "near"]
         if not len(some) or not len(qs):
-            return pd.DataFrame({"qkey": [], "qvec": [], "score": [], "ids": []})
+            return pd.DataFrame({c: [] for c in columns})
+        some = some.sort_values(["list", "least", "key"], kind="stable")
+        of, keys, ids = (some[c].to_numpy() for c in ("list", "key", "least"))
         code = np.frombuffer(b"".join(some["code"]), np.uint8).reshape(len(some), -1)
-        x, ids = np.array(some["vec"].tolist()), some["ids"].to_numpy()
-        least = np.array([i[0] for i in ids])
-        order = np.argsort(least, kind="stable")  # equal scores: the smaller id first
-        code, x, ids = code[order], x[order], ids[order]
-        out = []
-        for at in range(0, len(qs), 128):
-            part = qs.iloc[at : at + 128]
-            q = np.array(part["qvec"].tolist())
-            approx = index.approximate(q, int(key[0]), code)
-            n = min(rerank, len(x))
-            best = np.argpartition(-approx, n - 1, axis=1)[:, :n] if n < len(x) else np.tile(np.arange(n), (len(q), 1))
-            best.sort(axis=1)
-            exact = (x[best] * q[:, None, :]).sum(2)
-            top = np.argsort(-exact, axis=1, kind="stable")[:, : k + 1]
-            for i, (qkey, qvec) in enumerate(zip(part["qkey"], part["qvec"])):
-                out += [(qkey, qvec, exact[i, t], ids[best[i, t]]) for t in top[i]]
-        return pd.DataFrame(out, columns=["qkey", "qvec", "score", "ids"])
-
-    by = ["list", "i", "j"]
-    found = items.groupBy(*by).cogroup(wants.groupBy(*by)).applyInPandas(rank, "qkey long, qvec array<double>, score double, ids array<long>")
-    one = found.select("qkey", "qvec", "score", F.explode("ids").alias("vec_id"))
-    best = one.withColumn("no", F.row_number().over(W.partitionBy("qkey", "qvec").orderBy(F.desc("score"), "vec_id"))).where(F.col("no") <= k + 1)
-    best = stage(best.groupBy("qkey", "qvec").agg(F.array_sort(F.collect_list(F.struct("no", "vec_id", "score"))).alias("near")), "ann-best")
-    own = asked.join(best, (asked["key"] == best["qkey"]) & (asked["vec"] == best["qvec"]))
+        here, starts = np.unique(of, return_index=True)
+        ends = [*starts[1:], len(some)]
+        qs = qs.sort_values(["qid", "qkey"], kind="stable")
+        keep, out = min(rerank, len(some)), []
+        for at in range(0, len(qs), 64):
+            part = qs.iloc[at : at + 64]
+            q = np.frombuffer(b"".join(part["qvec"]), float).reshape(len(part), -1)
+            tables, base = index.tables(q), q @ index.coarse.T
+            near = np.full((len(some), len(q)), -np.inf, np.float32)
+            for x, lo, hi in zip(here, starts, ends):
+                who = np.array([x in wanted for wanted in part["lists"]])
+                if who.any():
+                    near[lo:hi, who] = index.approximate(base[who, x], tables[:, :, who], code[lo:hi])
+            best = np.argpartition(-near, keep - 1, axis=0)[:keep]
+            score = np.take_along_axis(near, best, axis=0)
+            i, j = np.nonzero(np.isfinite(score))
+            out.append(pd.DataFrame({"qkey": part["qkey"].to_numpy()[j], "qid": part["qid"].to_numpy()[j], "key": keys[best[i, j]], "least": ids[best[i, j]], "near": score[i, j]}))
+        return pd.concat(out)
+
+    by = ["shelf", "j"]
+    found = items.groupBy(*by).cogroup(wants.groupBy(*by)).applyInPandas(rank, "qkey long, qid long, key long, least long, near float")
+    order = W.partitionBy("qkey", "qid").orderBy(F.desc("near"), "least", "key")
+    found = stage(found.withColumn("no", F.row_number().over(order)).where(F.col("no") <= rerank).select("qkey", "qid", "key", "least").distinct(), "ann-found")
+
+    # exact scores: vectors are fetched by id
+    product = F.aggregate(F.zip_with("qvec", "vec", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    exact = found.join(entries.withColumn("least", F.col("ids")[0]), ["key", "least"]).select("qkey", "qid", "ids", "vec")
+    exact = exact.join(searched.withColumnRenamed("vec", "qvec"), ["qkey", "qid"]).select("qkey", "qid", F.explode("ids").alias("vec_id"), product.alias("score"))
+    best = exact.withColumn("no", F.row_number().over(W.partitionBy("qkey", "qid").orderBy(F.desc("score"), "vec_id"))).where(F.col("no") <= k + 1)
+    best = best.groupBy("qkey", "qid").agg(F.array_sort(F.collect_list(F.struct("no", "vec_id", "score"))).alias("near"))
+    best = stage(best.join(searched, ["qkey", "qid"]), "ann-best")
+    own = asked.join(best.withColumnRenamed("vec", "qvec"), (asked["key"] == best["qkey"]) & (asked["vec"] == F.col("qvec")))
     own = own.select("query_id", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("near"))
     return own.select("query_id", F.posexplode("near").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))

@@ -184,7 +184,7 @@ def test_neighbours(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
     exact = np.array([r[1] for r in rows[:400]], np.float32).astype(float)
     got = defaultdict(list)
-    for r in ann.search(table, F.col("vec_id") % 20 == 0, lists=4, probes=4, list_block=64, query_block=8).orderBy("query_id", "rank").collect():
+    for r in ann.search(table, F.col("vec_id") % 20 == 0, most_lists=4, share=1.0, rerank=60, list_block=64, query_block=8).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     assert sorted(got) == list(range(0, 400, 20))
     for q, found in got.items():
@@ -197,18 +197,46 @@ def test_neighbours(spark):
     assert ann.search(table.where("vec_id = 1000"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def recall_of(found, x, ids):
+    by = found.toPandas().groupby("query_id")["vec_id"].apply(set)
+    out = []
+    for q, got in by.items():
+        score = x @ x[ids == q][0]
+        order = [i for i in ids[np.lexsort((ids, -score))] if i != q][:20]
+        out.append(len(got & set(order)) / 20)
+    assert len(by) == (ids % 20 == 0).sum()
+    return np.mean(out)
+
+
 def test_neighbours_recall(spark):
+    """Whole tables with production parameters; at most 105 of the entries are scored exactly for a query."""
     from proctrace.llm.queries import QUERIES
 
-    table = spark.read.parquet(f"{D}/embeddings.parquet").toPandas()
-    x, ids = np.array(table["embedding"].tolist(), float), table["vec_id"].to_numpy()
-    found = QUERIES["op7_ann_search"](spark, D).toPandas().groupby("query_id")["vec_id"].apply(set)
-    recall = []
-    for q, got in found.items():
-        score = x @ x[ids == q][0]
-        order = [i for i in ids[np.lexsort((ids, -score))] if i != q][:20]
-        recall.append(len(got & set(order)) / 20)
-    assert len(found) == (ids % 20 == 0).sum() and np.mean(recall) >= 0.9
+    for d in (D, "/root/testdata/sf0.1"):
+        table = spark.read.parquet(f"{d}/embeddings.parquet").toPandas()
+        x, ids = np.array(table["embedding"].tolist(), float), table["vec_id"].to_numpy()
+        assert len(x) > 4 * 105 and recall_of(QUERIES["op7_ann_search"](spark, d), x, ids) >= 0.9
+
+
+def test_neighbours_codes_decide(spark):
+    """Of vectors in clusters, one of which holds half, a quarter of the lists and a small multiple of k find nearly all; lists are dealt to several shelves."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(30, 16)) * 4
+    x = (centres[np.minimum(rng.integers(0, 60, 3000), 29)] + rng.normal(size=(3000, 16))).astype(np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(table, F.col("vec_id") % 20 == 0, share=0.25, parts=16, rerank=63, list_block=100, query_block=64)
+    assert recall_of(got, x, np.arange(3000)) >= 0.9
+    exact = ann.search(table.where("vec_id < 300"), F.col("vec_id") % 20 == 0, share=1.0, parts=4, rerank=300)
+    assert recall_of(exact, x[:300], np.arange(300)) == 1
+
+
+def test_shelves():
+    got = ann.shelves({0: 3, 1: 4, 2: 4, 5: 25, 6: 10}, 10)
+    assert got == [(0, 0, 1), (1, 0, 1), (2, 1, 1), (5, 2, 3), (6, 5, 1)]
+    held = np.array([5, 0, 50, 1])
+    index = ann.Index(np.eye(4), 4, 2, 4)
+    assert (index.probes(np.eye(4), 0.25, held, 6) @ held >= 6).all() and index.probes(np.eye(4), 1.0, held, 0).all()
 
 
 def test_toxicity(spark, docs):
