@@ -5,12 +5,16 @@ Every source's documents, in a fixed order, form a stream of words that is cut i
 whole part of the expected count, and a multinomial draw over the remaining parts. A source's
 slots, numbered through the shards, run through its blocks in passes; in every pass a
 pseudorandom permutation of block indices (an unbalanced Feistel network with cycle walking)
-maps slot to block, and slots are joined with blocks by index. Slots beyond a source's target
+maps slot to block. Blocks are packed with their documents' words and joined with the slots by index,
+which makes the rows of the output shards; what a document gives is counted from these rows. Slots beyond a source's target
 are dropped, slots that the draws left over go to one closing shard, and the last slot is cut
 at the word, so a source's taken words are its target rounded to a whole number.
 
 Only DataFrame functions are used. A source may hold any share of the rows: positions in its
-stream come from sums over (source, bucket), where buckets are hashes of documents.
+stream come from sums over (source, bucket), where buckets are hashes of documents. Texts are
+shuffled twice, to their places and to their blocks; a block has ``block_words`` words. Sources
+themselves are ranked in one task, a row for each. A shard has ``shard_slots`` slots, more where there would
+be over ``most_shards`` shards.
 
 Defined cases: a null text has no words; documents without words take nothing; a null source is
 a source of its own, ordered last; repeated rows are documents of their own; an empty table
@@ -25,14 +29,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from proctrace.llm.common import SPACE_WORD, stage, text_key
+from proctrace.llm.common import SPACE_WORD, bound, stage, text_key
 
 
 class Mixture(NamedTuple):
-    """documents: a row per document; slots: (shard, slot of the source, block, words taken of it)."""
+    """documents: a row per document; slots: (shard, slot of the source, block, words taken of it).
+
+    shards: the mix itself, a row per slot with its words, one space between them, and the parts of
+    which document (doc_id, and start, its place in its source's stream) they are: words low to high.
+    """
 
     sources: DataFrame
     slots: DataFrame
+    shards: DataFrame
     documents: DataFrame
 
 
@@ -83,15 +92,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> Data
 
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, block_words: int = 256, shard_slots: int = 4096, most_shards: int = 16_384, buckets: int = 1024, seed: int = 17) -> Mixture:
     source = F.col(source_col).cast("string")
-    sizes = stage(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source)).alias("skey"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(SPACE_WORD)), F.lit(0)).cast("long").alias("size"),
-            text_key(F.col(text_col)).alias("text_key"),
-        ).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(buckets))),
-        "mix-sizes",
-    )
+    skey = F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source)).alias("skey")
+    texts = docs.select(F.col(id_col).alias("doc_id"), skey, F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("text_key")).withColumn("row_key", F.xxhash64("doc_id", "skey", "text_key"))
+    counted = F.coalesce(F.regexp_count("text", F.lit(SPACE_WORD)), F.lit(0)).cast("long").alias("size")
+    sizes = stage(texts.select("doc_id", "skey", counted, "text_key", "row_key", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(buckets)).alias("bucket")), "mix-sizes")
     b = F.lit(block_words)
 
     # one row per source, then per (source, bucket)
@@ -121,8 +125,6 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     sources = stage(targets, "mix-sources")
 
     slots = _slots(sources, block_words, seed)
-    used = slots.groupBy("rank", "block", "words").agg(F.count("*").alias("times"))
-
     # where each document lies in its source's stream
     offsets = (
         by_bucket.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(W.partitionBy("skey").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
@@ -131,15 +133,45 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     )
     within = W.partitionBy("skey", "bucket").orderBy("doc_id", "text_key").rowsBetween(W.unboundedPreceding, 0)
     placed = sizes.withColumn("upto", F.sum("size").over(within)).join(offsets, ["skey", "bucket"]).withColumn("start", F.col("bucket_start") + F.col("upto") - F.col("size"))
-    placed = stage(placed.select("doc_id", "text_key", "rank", "size", "source_size", "target", "start"), "mix-placed")
-    end = F.col("start") + F.col("size")
-    pieces = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / b).cast("long"), F.floor((end - 1) / b).cast("long"))))
-    pieces = pieces.withColumn("low", F.greatest(F.col("start") - F.col("block") * b, F.lit(0))).withColumn("high", F.least(end - F.col("block") * b, b.cast("long")))
-    overlap = F.col("times") * F.greatest(F.least("high", "words") - F.col("low"), F.lit(0))
-    own = ["doc_id", "text_key", "rank", "size", "source_size", "target", "start"]
-    taken = pieces.join(used, ["rank", "block"], "left").groupBy(*own).agg(F.coalesce(F.sum(overlap), F.lit(0)).cast("long").alias("taken"))
-    taken = taken.unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
-    return Mixture(sources, slots, taken)
+    placed = stage(placed.select("doc_id", "text_key", "row_key", "rank", "size", "source_size", "target", "start"), "mix-placed")
+    shards = stage(_filled(slots, _packed(texts, placed, block_words)), "mix-shards")
+    parts = shards.select("rank", F.explode("parts").alias("part")).groupBy("rank", "part.start").agg(F.sum(F.col("part.high") - F.col("part.low")).alias("taken"))
+    taken = placed.where("size > 0").join(parts.hint("merge"), ["rank", "start"], "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
+    own = ["doc_id", "text_key", "rank", "size", "source_size", "target", "start", "taken"]
+    taken = taken.select(own).unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(own))
+    return Mixture(sources, slots, shards, taken)
+
+
+def _packed(texts: DataFrame, placed: DataFrame, block_words: int) -> DataFrame:
+    """(rank, block, words, parts): every block with its words in order and the documents they are of.
+
+    Rows alike in source, id and text lie side by side in the stream: the first one's place and
+    their number give each its own.
+    """
+    b = F.lit(block_words).cast("long")
+    alike = W.partitionBy("row_key", "text_key").orderBy("row_key")
+    places = placed.where("size > 0").groupBy("row_key", "text_key").agg(F.min("start").alias("begin"), F.min("rank").alias("rank"), F.min("size").alias("size"))
+    rows = texts.join(places.hint("merge"), ["row_key", "text_key"])
+    rows = rows.withColumn("start", F.col("begin") + (F.row_number().over(alike) - 1) * F.col("size")).withColumn("end", F.col("start") + F.col("size"))
+
+    def part(words: Column, block: Column) -> Column:
+        low, high = F.greatest(F.col("start") - block * b, F.lit(0)), F.least(F.col("end") - block * b, b)
+        first = (block * b + low - F.col("start") + 1).cast("int")
+        return F.struct(block.alias("block"), low.alias("low"), high.alias("high"), F.array_join(F.slice(words, first, (high - low).cast("int")), " ").alias("text"))
+
+    blocks = F.sequence(F.floor(F.col("start") / b).cast("long"), F.floor((F.col("end") - 1) / b).cast("long"))
+    cut = bound(F.regexp_extract_all("text", F.lit(SPACE_WORD), F.lit(0)), lambda words: F.transform(blocks, lambda block: part(words, block)))
+    pieces = rows.select("rank", "doc_id", "start", F.explode(cut).alias("piece")).select("rank", "piece.block", "piece.low", "piece.high", "doc_id", "start", "piece.text")
+    packed = pieces.repartition("rank", "block").groupBy("rank", "block").agg(F.sort_array(F.collect_list(F.struct("low", "high", "doc_id", "start", "text"))).alias("all"))
+    return packed.select("rank", "block", F.array_join("all.text", " ").alias("packed"), F.transform("all", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["start"].alias("start"), x["low"].alias("low"), x["high"].alias("high"))).alias("parts"))
+
+
+def _filled(slots: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Slots joined with their blocks by index, cut at the words that they take."""
+    rows = blocks.join(slots.hint("merge"), ["rank", "block"])
+    words = F.col("words")
+    parts = F.transform(F.filter("parts", lambda x: x["low"] < words), lambda x: F.struct(x["doc_id"].alias("doc_id"), x["start"].alias("start"), x["low"].alias("low"), F.least(x["high"], words).alias("high")))
+    return rows.select("rank", "shard", "slot", "block", words, F.expr("substring_index(packed, ' ', cast(words as int))").alias("text"), parts.alias("parts"))
 
 
 def _slots(sources: DataFrame, block_words: int, seed: int, cells: int = 1024) -> DataFrame:

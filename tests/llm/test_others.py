@@ -156,6 +156,28 @@ def check_mix(rows, mix):
     assert all(abs(taken[s] - target[s]) <= 0.5 for s in sizes)
 
 
+def check_shards(rows, mix):
+    """The shards' words are those of the documents that their parts name, at the places these have in their source."""
+    shards, placed = mix.shards.collect(), mix.documents.collect()
+    by_place = {(r["rank"], r["start"]): r for r in placed if r["size"]}
+    texts = defaultdict(list)
+    for r in rows:
+        texts[r[0]].append((r[1] or "").split())
+    assert {(r["rank"], r["slot"]): r["words"] for r in shards} == {(r["rank"], r["slot"]): r["words"] for r in mix.slots.collect()}
+    taken = Counter()
+    for r in shards:
+        words, at = r["text"].split(" "), 0
+        assert len(words) == r["words"]
+        for p in r["parts"]:
+            doc = by_place[r["rank"], p["start"]]
+            first = r["block"] * 16 + p["low"] - p["start"]
+            assert p["low"] == at and doc["doc_id"] == p["doc_id"]
+            assert words[at : p["high"]] in [t[first : first + p["high"] - at] for t in texts[p["doc_id"]] if len(t) == doc["size"]]
+            at, taken[r["rank"], p["start"]] = p["high"], taken[r["rank"], p["start"]] + p["high"] - p["low"]
+        assert at == len(words)
+    assert all(taken[k] == r["taken"] for k, r in by_place.items()) and len(by_place) == sum(1 for r in placed if r["size"])
+
+
 def test_mixing(spark, docs):
     rows = [(i, " ".join(f"w{j}" for j in range(i % 37)), None if i % 11 == 0 else f"s{i % 5}") for i in range(300)]
     rows += [(1000, None, "s1"), (1001, "x " * 20_000, "big"), (1002, "one", "tiny"), (7, rows[7][1], rows[7][2])]
@@ -165,6 +187,7 @@ def test_mixing(spark, docs):
     assert key(first) == key(second)
     slots = first.slots.collect()
     assert len({(r["rank"], r["slot"]) for r in slots}) == len(slots) and len({r["shard"] for r in slots}) > 5
+    check_shards(rows, first)
     for m in (mixing.mix_sources(docs([])), mixing.mix_sources(docs([(1, None, "a"), (2, "", None)]))):
         assert sum(r["taken"] for r in m.documents.collect()) == 0
 
