@@ -5,8 +5,9 @@ windows are looked up in two steps. Any window of L words that a document holds
 the document's word groups of length g = (L + 1) div 2 that start at a multiple of g; hashes of
 these groups, one word in g, are looked up in a hash set of the items' groups. The documents
 found are then scanned at every word, and whole windows are compared, so that a hit never
-rests on a hash. The hash set and the windows are broadcast if they have at most
-``broadcast_rows`` rows and joined by shuffle otherwise; the rows are the same.
+rests on a hash. The hash set and the windows are each broadcast if they have at most
+``broadcast_rows`` rows and ``broadcast_bytes`` bytes of text, and joined by shuffle otherwise;
+the rows of the result are the same.
 
 Only DataFrame functions are used.
 
@@ -49,7 +50,13 @@ def _starts(count: Column, width: int, step: int) -> Column:
     return F.when(count >= width, F.sequence(F.lit(1), count - width + 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = 13, share: int = 20, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def _sent(df: DataFrame, size: Column, rows: int, most: int) -> DataFrame:
+    """df, to be broadcast if it has at most that many rows and bytes."""
+    found = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if found["n"] <= rows and found["bytes"] <= most else df
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = 13, share: int = 20, broadcast_rows: int = 1_000_000, broadcast_bytes: int = 128 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated, spans), a row per document.
 
     spans: the hit runs as (first word, end), from 0. A document is contaminated if it has hits
@@ -60,8 +67,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = 13, share:
     windows = items.select("item_id", width.alias("width"), "words", F.explode(F.sequence(F.lit(1), F.size("words") - width + 1)).alias("at"))
     windows = stage(windows.select("item_id", "width", F.concat_ws(" ", F.slice("words", F.col("at"), F.col("width"))).alias("gram")).distinct(), "decon-windows")
     widths = sorted(r["width"] for r in windows.select("width").distinct().collect())  # n values at most
-    few = windows.count() <= broadcast_rows
-    sent = F.broadcast if few else lambda x: x
+    sent = _sent(windows, F.octet_length("gram") + F.octet_length("item_id"), broadcast_rows, broadcast_bytes)
 
     # a window's groups that a document's grid can meet start at its first g words
     by_group = {g: [w for w in widths if (w + 1) // 2 == g] for g in {(w + 1) // 2 for w in widths}}
@@ -80,7 +86,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = 13, share:
         none = scan.where("false").select("doc_id", "text_key", F.lit(None).cast("array<struct<low:int,high:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
         spans = stage(none, "decon-none")
     else:
-        found = scan.select("doc_id", "text_key", F.explode("grid").alias("probe")).join(sent(probes.distinct()), "probe", "left_semi").select("doc_id", "text_key").distinct()
+        probes = _sent(stage(probes.distinct(), "decon-probes"), F.lit(8), broadcast_rows, broadcast_bytes)
+        found = scan.select("doc_id", "text_key", F.explode("grid").alias("probe")).join(probes, "probe", "left_semi").select("doc_id", "text_key").distinct()
         found = stage(found, "decon-found")
         held = base.join(found, same_row(base, found), "left_semi").dropDuplicates(["doc_id", "text_key"])
         # split once: the words are needed for every position
@@ -90,7 +97,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = 13, share:
             at = _windows(F.col("words"), w)
             one = held.select("doc_id", "text_key", F.explode(at).alias("x")).select("doc_id", "text_key", F.col("x.low").alias("low"), (F.col("x.low") + w).alias("high"), F.col("x.gram").alias("gram"), F.lit(w).alias("width"))
             hits = one if hits is None else hits.unionByName(one)
-        hits = hits.join(sent(windows), ["width", "gram"])
+        hits = hits.join(sent, ["width", "gram"])
         spans = hits.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("low", "high"))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
     step = lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0), x["high"] - F.greatest(acc["end"], x["low"]))).alias("n"), F.greatest(acc["end"], x["high"]).alias("end"))

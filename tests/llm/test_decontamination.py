@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import pytest
+
 from proctrace.llm import decontamination
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -58,10 +60,12 @@ def test_against_plain_windows(spark, docs):
     assert key(run(docs(rows), table)) == key(plain(rows, items))
 
 
-def test_shuffled_lookup_gives_the_same(spark, docs):
+# no broadcast by rows, none by bytes, and the windows alone
+@pytest.mark.parametrize("limit", [{"broadcast_rows": 0}, {"broadcast_bytes": 0}, {"broadcast_rows": 60}])
+def test_shuffled_lookup_gives_the_same(spark, docs, limit):
     rows, items = cases()
     table = spark.createDataFrame(items, "item_id long, text string")
-    got = decontamination.decontaminate(docs(rows), table, broadcast_rows=0)
+    got = decontamination.decontaminate(docs(rows), table, **limit)
     assert key([tuple(r)[:1] + tuple(r)[2:7] for r in got.collect()]) == key(plain(rows, items))
 
 
