@@ -17,7 +17,8 @@ earlier similar one, not all pairs; lines are settled in two turns:
    than words that differ), and the later line must not be settled yet; so groups of similar
    lines don't come as all their pairs.
 
-Pairs of both turns are verified on the words. Lines without words stay.
+Pairs of both turns are verified on the words; of the second turn first the ``TRIES`` of each later line whose sketches
+differ least, then the others of lines that these don't settle. Lines without words stay.
 
 Only DataFrame functions are used.
 
@@ -32,6 +33,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from proctrace.llm.common import bound, discard, same_row, stage, text_key, unused
@@ -42,6 +44,8 @@ KEY = ["line", "odd", "size"]
 WIDE = 48
 #: Any numbers do: each makes another min-hash of the same words.
 SALTS = (0x1E3779B97F4A7C, 0x3C6EF372FE94F8)
+#: In large groups of near copies a line has many candidates, and most often one of the likeliest settles it.
+TRIES = 4
 #: Bits beside a word's position: the line isn't settled; the row stands for x; it stands for y.
 LIVE, LARGER, SMALLER = 1 << 31, 1 << 30, 1 << 29
 
@@ -103,20 +107,23 @@ def repeated_lines(docs: DataFrame, *, num: int = 4, den: int = 5, buckets: int
     whole, lines = lines, stage(lines.drop("heads", "half"), "line-slim")
     discard(whole)
 
-    settled = stage(_verified(base, first, _pivot_pairs(first, num, den), num, den), "line-settled")
-    found = stage(_prefix_pairs(first, settled, num, den), "line-pairs")
-    more = stage(_verified(base, first, found, num, den), "line-settled")
-    discard(found)
+    settled = _verified(base, first, _pivot_pairs(first, num, den), num, den)
+    more = _verified(base, first, _prefix_pairs(first, settled, num, den), num, den)
     gone = settled.unionByName(more).withColumn("gone", F.lit(True))
     fate = stage(first.select("id", *KEY, "place").join(gone, "id", "left").select(*KEY, "place", F.coalesce("gone", F.lit(False)).alias("gone")), "line-fate")
     discard(first, settled, more)
     return lines.join(fate, KEY).where(F.col("gone") | (place != F.col("place"))).select("doc_id", "text_key", "no").distinct()
 
 
+def _differ(a: str, b: str) -> Column:
+    """How many bits of two sketches (odd and half with these suffixes) differ."""
+    odd, half = F.col(f"odd{a}").bitwiseXOR(F.col(f"odd{b}")), F.col(f"half{a}").bitwiseXOR(F.col(f"half{b}"))
+    return F.coalesce(F.bit_count(half) + F.bit_count(odd.bitwiseXOR(half)), F.bit_count(odd))
+
+
 def _alike(a: str, b: str, size_a: Column, size_b: Column, num: int, den: int) -> Column:
     """That sizes and sketches (odd and half with these suffixes) allow the similarity."""
-    odd, half = F.col(f"odd{a}").bitwiseXOR(F.col(f"odd{b}")), F.col(f"half{a}").bitwiseXOR(F.col(f"half{b}"))
-    differ = F.coalesce(F.bit_count(half) + F.bit_count(odd.bitwiseXOR(half)), F.bit_count(odd))
+    differ = _differ(a, b)
     return (F.least(size_a, size_b) * den >= F.greatest(size_a, size_b) * num) & (differ * (den + num) <= (size_a + size_b) * (den - num))
 
 
@@ -132,7 +139,7 @@ def _pivot_pairs(first: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _prefix_pairs(first: DataFrame, settled: DataFrame, num: int, den: int) -> DataFrame:
-    """(early, late): candidates by prefix words, the late line not settled."""
+    """(early, late, rate): candidates by prefix words, the late line not settled, and how much their sketches differ."""
     step = math.log(den / num * 1.01)
     starts = F.transform(F.sequence(F.lit(0), F.lit(int(40 / step))), lambda k: F.ceil(F.exp(k * step) - 1e-9))
     n = F.col("size")
@@ -164,13 +171,19 @@ def _prefix_pairs(first: DataFrame, settled: DataFrame, num: int, den: int) -> D
         & (rest * (den + num) >= (size_a + size_b) * num)
     )
     both = left.join(right.hint("shuffle_hash"), (F.col("key_a") == F.col("key_b")) & hope)
-    return both.select(F.least("id_a", "id_b").alias("early"), F.greatest("id_a", "id_b").alias("late")).distinct()
+    return both.select(F.least("id_a", "id_b").alias("early"), F.greatest("id_a", "id_b").alias("late"), (_differ("_a", "_b") / (size_a + size_b)).cast("float").alias("rate")).distinct()
 
 
 def _verified(base: DataFrame, first: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """The ids of late lines that are similar by their words to one they are paired with."""
+    """The ids of late lines that are similar by their words to one they are paired with, as a staged table.
+
+    Where pairs have a rate, each late line's likeliest are verified first, and the others only if these don't settle it.
+    """
+    rated = "rate" in pairs.columns
+    if rated:
+        pairs = pairs.select("early", "late", (F.row_number().over(W.partitionBy("late").orderBy("rate", "early")) <= TRIES).alias("likely"))
     pairs = stage(pairs, "line-pairs")
-    ids = pairs.select(F.explode(F.array("early", "late")).alias("id")).distinct()
+    ids = pairs.select(F.col("early").alias("id")).unionByName(pairs.select(F.col("late").alias("id"))).distinct()
     wanted = first.select("id", "place").join(ids, "id")
     wanted = wanted.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.text_key").alias("text_key")).agg(F.collect_list(F.struct("id", "place.no")).alias("lines"))
     held = base.join(wanted, same_row(base, wanted)).select(F.split("text", "\n").alias("all"), "lines", wanted["doc_id"], wanted["text_key"])
@@ -179,9 +192,19 @@ def _verified(base: DataFrame, first: DataFrame, pairs: DataFrame, num: int, den
     words = stage(held.select("id", F.array_distinct(_words(F.col("line"))).alias("words")).dropDuplicates(["id"]), "line-words")
     sides = [words.select(F.col("id").alias(c), F.col("words").alias(f"{c}_words")) for c in ("early", "late")]
     common = F.size(F.array_intersect("early_words", "late_words"))
-    matched = pairs.join(sides[0], "early").join(sides[1], "late").where(common * (den + num) >= (F.size("early_words") + F.size("late_words")) * num)
-    out = stage(matched.select(F.col("late").alias("id")).distinct(), "line-late")
-    discard(pairs, words)
+
+    def similar(some: DataFrame) -> DataFrame:
+        matched = some.join(sides[0], "early").join(sides[1], "late").where(common * (den + num) >= (F.size("early_words") + F.size("late_words")) * num)
+        return matched.select(F.col("late").alias("id")).distinct()
+
+    if not rated:
+        out = stage(similar(pairs), "line-settled")
+        discard(pairs, words)
+        return out
+    likely = stage(similar(pairs.where("likely")), "line-likely")
+    others = similar(pairs.where("not likely").join(likely.withColumnRenamed("id", "late"), "late", "left_anti"))
+    out = stage(likely.unionByName(others), "line-settled")
+    discard(pairs, words, likely)
     return out
 
 

@@ -66,6 +66,28 @@ def test_variants_of_one_template_stay_few_pairs(spark, docs):
     assert made[1] <= 6 * made[0] + 4000
 
 
+def test_likeliest_candidates_settle_dense_groups(spark, docs, monkeypatch):
+    """Of near copies that are often just not similar, few of the candidate pairs are held against each other word by word."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(70)]
+    rows = [(i, " ".join(f"n{rng.randrange(10**6)}" if rng.random() < 0.1 else w for w in base)) for i in range(400)]
+    made, real = {}, lines.stage
+
+    def seen(df, label, *rest):
+        out = real(df, label, *rest)
+        if "likely" in out.columns:
+            made["pairs"] = out
+        if label == "line-likely":
+            others = made["pairs"].where("not likely").join(out.withColumnRenamed("id", "late"), "late", "left_anti").count()
+            made["verified"], made["all"] = made["pairs"].where("likely").count() + others, made["pairs"].count()
+        return out
+
+    monkeypatch.setattr(lines, "stage", seen)
+    assert got(docs(rows)) == plain(rows)
+    print(made["verified"], made["all"])
+    assert made["all"] > 1000 and 3 * made["verified"] < made["all"]
+
+
 def test_long_and_hot_lines(spark, docs):
     rng = random.Random(9)
     long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(30_000))
