@@ -6,12 +6,13 @@ candidates that may overlap each other and base spans. Boosted trees score each
 (length, digits, separators, groups, a plus sign, distinct digits) and context (words before
 it). No table marks personal data, so the trees learn from the base tests: a candidate that a
 base span covers is label 1, while the tests' own outcome (check digits, part values) is not a
-feature. The threshold is calibrated on the fold of the sample that the fit didn't see, as the
+feature. The threshold is calibrated on the fold of the candidates that the fit didn't see, as the
 lowest score whose precision reaches ``precision``. Candidates over it that overlap no base
 span become spans of kind ``likely``; where candidates overlap each other, the earlier,
 then the longer one stays.
 
-The fit takes at most ``sample`` candidates, those of least hash; all else covers all rows.
+Fit and threshold cover all distinct candidates: those alike in features and label are a row with
+their count as its weight, so there are few rows however many the candidates.
 Scoring is a Column expression read out of the model; only DataFrame functions are used.
 
 Defined cases: a null text is empty; texts without matches have no spans; each row gives a row;
@@ -96,7 +97,7 @@ def _overlaps(spans: Column, x: Column) -> Column:
     return F.when(n > 0, F.coalesce(bound(before, lambda k: F.get(spans, k - 1)["high"] > x["low"]), F.lit(False))).otherwise(F.lit(False))
 
 
-def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, precision: float = 0.98, trees: int = 8, depth: int = 3) -> DataFrame:
+def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", precision: float = 0.98, trees: int = 8, depth: int = 3) -> DataFrame:
     """(doc_id, base, extra): arrays of spans, a row per document."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     scan = docs.select(F.col(id_col).alias("doc_id"), *[c.alias(k) for c, k in zip(base_spans(text), KINDS)], candidates(text).alias("found"))
@@ -105,14 +106,14 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     scan = stage(scan, "pii-scan")
     labels = F.transform("found", lambda x: F.struct(covered(x).alias("known"), x["low"].alias("low"), x["high"].alias("high"), x["match"].alias("match"), x["before"].alias("before")))
     one = scan.where("size(found) > 0").select(F.explode(labels).alias("x")).select(F.col("x.known").cast("double").alias("label"), "x.match", "x.before")
-    rows = one.distinct().withColumn("hash", F.xxhash64("match", "before")).orderBy("hash", "match", "before", "label").limit(sample)
     named = features(F.col("match"), F.col("before"))
-    rows = stage(rows.select("label", F.pmod("hash", F.lit(5)).alias("fold"), *[c.alias(k) for k, c in named.items()]).coalesce(1), "pii-sample")
-    chance = fit_trees(rows.where("fold > 0"), FEATURES, "label", trees=trees, depth=depth)
+    rows = one.distinct().select("label", F.pmod(F.xxhash64("match", "before"), F.lit(5)).alias("fold"), *[c.alias(k) for k, c in named.items()])
+    rows = stage(rows.groupBy(*rows.columns).agg(F.count("*").cast("double").alias("weight")).orderBy(*rows.columns), "pii-vectors")
+    chance = fit_trees(rows.where("fold > 0"), FEATURES, "label", weight="weight", trees=trees, depth=depth)
     base = F.concat(*[F.col(k) for k in KINDS]).alias("base")
     if chance is None:
         return scan.select("doc_id", base, F.array().cast(SPAN).alias("extra"))
-    least = _threshold(rows.where("fold = 0").select("label", chance({k: F.col(k) for k in FEATURES}).alias("p")), precision)
+    least = _threshold(rows.where("fold = 0").select("label", "weight", chance({k: F.col(k) for k in FEATURES}).alias("p")), precision)
     fresh = F.filter(labels, lambda x: ~x["known"])
     described = F.transform(fresh, lambda x: F.struct(x["low"].alias("low"), x["high"].alias("high"), *[c.alias(k) for k, c in features(x["match"], x["before"]).items()]))
     scored = F.transform(described, lambda x: F.struct(x["low"].alias("low"), (-x["high"]).alias("last"), chance({k: x[k] for k in FEATURES}).alias("p")))
@@ -138,7 +139,7 @@ def _any(tests: list[Column]) -> Column:
 
 def _threshold(scored: DataFrame, precision: float) -> float:
     """The lowest of 100 score steps from which up the precision holds; over 1, so nothing passes, if none does."""
-    steps = scored.groupBy(F.floor(F.col("p") * 100).cast("int").alias("step")).agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()  # 101 rows at most
+    steps = scored.groupBy(F.floor(F.col("p") * 100).cast("int").alias("step")).agg(F.sum(F.col("label") * F.col("weight")).alias("good"), F.sum("weight").alias("n")).collect()  # 101 rows at most
     best, good, n = 2.0, 0.0, 0
     for r in sorted(steps, key=lambda r: -r["step"]):
         good, n = good + r["good"], n + r["n"]
