@@ -2,8 +2,8 @@
 
 A line is the set of its words. Words are ordered by rarity: their counts over all documents,
 in ``buckets`` hashed counters, are ranked and put in classes, the rarest first, then by hash.
-Distinct lines are numbered in the order of their first places (document id, text, line), so of
-two similar lines the one of larger number goes. What is asked for is whether a line has any
+Lines of the same text are one, numbered in the order of their first places (document id, text, line), so of
+two similar lines the one of larger number goes; other copies of a line go in any case. What is asked for is whether a line has any
 earlier similar one, not all pairs; lines are settled in two turns:
 
 1. Pivots. Lines that share a min-hash of their words, or the second rarest, are held against the first among them:
@@ -30,7 +30,9 @@ other columns, whatever their names, are kept by ``without_repeats`` and not rea
 
 from __future__ import annotations
 
+import functools
 import math
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -39,11 +41,10 @@ from pyspark.sql import functions as F
 from proctrace.llm.common import bound, discard, same_row, stage, text_key, unused
 
 MASK = (1 << 56) - 1
-KEY = ["line", "odd", "size"]
 #: Lines of more words have a sketch of 128 bits, the others one of 64.
 WIDE = 48
-#: Any numbers do: each makes another min-hash of the same words.
-SALTS = (0x1E3779B97F4A7C, 0x3C6EF372FE94F8)
+#: A set's heads begin with two min-hashes, the least and the largest of its words' hashes; the prefix follows.
+ENDS = 2
 #: In large groups of near copies a line has many candidates, and most often one of the likeliest settles it.
 TRIES = 4
 #: Bits beside a word's position: the line isn't settled; the row stands for x; it stands for y.
@@ -52,7 +53,8 @@ LIVE, LARGER, SMALLER = 1 << 31, 1 << 30, 1 << 29
 
 def _plain(text: Column) -> Column:
     """White space but line feeds as spaces; splitting by one plain character is several times faster than by a pattern."""
-    return F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
+    others = "\t\x0b\x0c\r"
+    return F.when(functools.reduce(or_, (text.contains(c) for c in others)), F.translate(text, others, "    ")).otherwise(text)
 
 
 def _words(line: Column) -> Column:
@@ -63,7 +65,7 @@ def _words(line: Column) -> Column:
 def _ranks(text: DataFrame, buckets: int) -> Column:
     """An array: for each bucket of word hashes the class of its count, in the top bits, as one constant."""
     words = text.select(F.explode(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
-    counts = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(buckets - 1)).alias("bucket")).count().collect()  # buckets rows at most
+    counts = words.groupBy(_bucket(F.xxhash64("word"), buckets).alias("bucket")).count().collect()  # buckets rows at most
     ranks = [0] * buckets
     for rank, r in enumerate(sorted(counts, key=lambda r: (r["count"], r["bucket"]))):
         ranks[r["bucket"]] = (120 * rank // len(counts)) << 56
@@ -71,48 +73,66 @@ def _ranks(text: DataFrame, buckets: int) -> Column:
 
 
 def _sketch(words: Column) -> Column:
-    """64 parity bits of the words."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    """64 parity bits of the words' hashes."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(x, 58).cast("int"))
     return F.aggregate(words, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x)))
 
 
 def _half(words: Column) -> Column:
     """Of lines of more than ``WIDE`` words, the parity bits of half of all words; with those of all, this makes 128 bits."""
-    bit = lambda x: F.call_function("shiftleft", F.shiftright(x, 6).bitwiseAND(F.lit(1)), x.bitwiseAND(F.lit(63)).cast("int"))
-    return F.when(F.size(words) > WIDE, F.aggregate(words, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x))))
+    return F.when(F.size(words) > WIDE, _sketch(F.filter(words, lambda x: x.bitwiseAND(F.lit(1).cast("long")) == 0)))
 
 
-def _least(words: Column, salt: int) -> Column:
-    """A min-hash: the least of the words' hashes, without their classes, after some bits are turned."""
-    return F.array_min(F.transform(words, lambda x: F.shiftleft(x, 8).bitwiseXOR(F.lit(salt << 8))))
+def _bucket(word_hash: Column, buckets: int) -> Column:
+    return F.shiftrightunsigned(word_hash, 65 - buckets.bit_length())
+
+
+def _places(base: DataFrame) -> DataFrame:
+    """(id, doc_id, text_key, no), staged: the first place of each line of the same text, numbered in the order of places."""
+    rows = base.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.ltrim("line") != "")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "no").alias("place")
+    copies = rows.select(F.xxhash64("line").alias("a"), F.hash("line").alias("b"), F.octet_length("line").alias("c"), place)
+    first = copies.groupBy("a", "b", "c").agg(F.min("place").alias("place")).orderBy("place")
+    return stage(first.select(F.monotonically_increasing_id().alias("id"), "place.doc_id", "place.text_key", "place.no"), "line-places")
+
+
+def _by_document(places: DataFrame, what: Column) -> DataFrame:
+    """(id_key, text_key, lines): what each place has, by document; ids by their hashes, so that a null id is a key like others."""
+    return places.groupBy(F.xxhash64("doc_id").alias("id_key"), "text_key").agg(F.collect_list(what).alias("lines"))
+
+
+def _sets(base: DataFrame, places: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
+    """(id, size, odd, half, heads, line), staged: what pairs of first lines are found and verified by."""
+    ranks = _ranks(base, buckets)
+    # rows repeated in the table are one document
+    texts = base.groupBy(F.xxhash64("doc_id").alias("id_key"), "text_key").agg(F.first("text").alias("text"))
+    held = texts.join(_by_document(places, F.struct("id", "no")), ["id_key", "text_key"])
+    # a text is split once for all of its lines
+    picked = bound(F.split("text", "\n"), lambda every: F.transform("lines", lambda x: F.struct(x["id"].alias("id"), F.get(every, x["no"]).alias("line"))))
+    held = held.select(F.explode(picked).alias("x")).select("x.id", "x.line")
+    rows = held.select("id", "line", F.array_distinct(F.transform(_words(F.col("line")), lambda x: F.xxhash64(x))).alias("hashes"))
+    ranked = F.transform("hashes", lambda x: F.get(ranks, _bucket(x, buckets).cast("int")).bitwiseOR(x.bitwiseAND(F.lit(MASK))))
+    ends = F.array(F.array_min("hashes"), F.array_max("hashes")).alias("ends")
+    rows = rows.select("id", "line", F.size("hashes").alias("size"), _sketch(F.col("hashes")).alias("odd"), _half(F.col("hashes")).alias("half"), ends, F.sort_array(ranked).alias("words"))
+    prefix = F.slice("words", F.lit(1), F.col("size") - F.ceil(F.col("size") * num / den).cast("int") + 1)
+    return stage(rows.select("id", "size", "odd", "half", F.concat("ends", prefix).alias("heads"), "line"), "line-sets")
 
 
 def repeated_lines(docs: DataFrame, *, num: int = 4, den: int = 5, buckets: int = 32_768, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, no): the lines to remove, by number from 0. buckets: a power of two."""
     base = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), _plain(F.col(text_col)).alias("text")).where("text is not null")
-    ranks = _ranks(base, buckets)
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "no").alias("place")
-    rows = base.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("no", "text"))
-    # a test on the words would compute them twice
-    rows = rows.where(F.ltrim("text") != "")
-    ranked = F.transform(_words(F.col("text")), lambda x: F.get(ranks, F.xxhash64(x).bitwiseAND(F.lit(buckets - 1)).cast("int")) + F.xxhash64(x).bitwiseAND(F.lit(MASK)))
-    rows = rows.select("doc_id", "text_key", "no", F.sort_array(F.array_distinct(ranked)).alias("words"))
-    size = F.size("words")
-    prefix = F.slice("words", F.lit(1), size - F.ceil(size * num / den).cast("int") + 1)
-    least = F.array(*[_least(F.col("words"), s) for s in SALTS])
-    rows = rows.select("doc_id", "text_key", "no", F.xxhash64("words").alias("line"), size.alias("size"), _sketch(F.col("words")).alias("odd"), _half(F.col("words")).alias("half"), F.concat(least, prefix).alias("heads"))
-    lines = stage(rows, "line-rows")
-    first = lines.groupBy(*KEY).agg(F.min(place).alias("place"), F.min("half").alias("half"), F.first("heads").alias("heads")).orderBy("place")
-    first = stage(first.select(F.monotonically_increasing_id().alias("id"), *KEY, "half", "place", "heads"), "line-first")
-    whole, lines = lines, stage(lines.drop("heads", "half"), "line-slim")
-    discard(whole)
-
-    settled = _verified(base, first, _pivot_pairs(first, num, den), num, den)
-    more = _verified(base, first, _prefix_pairs(first, settled, num, den), num, den)
-    gone = settled.unionByName(more).withColumn("gone", F.lit(True))
-    fate = stage(first.select("id", *KEY, "place").join(gone, "id", "left").select(*KEY, "place", F.coalesce("gone", F.lit(False)).alias("gone")), "line-fate")
-    discard(first, settled, more)
-    return lines.join(fate, KEY).where(F.col("gone") | (place != F.col("place"))).select("doc_id", "text_key", "no").distinct()
+    places = _places(base)
+    first = _sets(base, places, buckets, num, den)
+    texts = first.select("id", "line")
+    settled = _verified(texts, texts, _pivot_pairs(first, num, den), num, den)
+    more = _verified(texts, texts, _prefix_pairs(first, settled, num, den), num, den)
+    kept = stage(_by_document(places.join(settled.unionByName(more), "id", "left_anti"), F.col("no")), "line-kept")
+    discard(places, first, settled, more)
+    numbers = F.array_compact(F.transform(F.split("text", "\n"), lambda x, i: F.when(F.ltrim(x) != "", i)))
+    rows = base.select(F.xxhash64("doc_id").alias("id_key"), "doc_id", "text_key", numbers.alias("all")).where(F.size("all") > 0)
+    rows = rows.join(kept, ["id_key", "text_key"], "left")
+    gone = F.when(F.col("lines").isNull(), F.col("all")).otherwise(F.array_except("all", "lines"))
+    return rows.select("doc_id", "text_key", F.explode(gone).alias("no")).distinct()
 
 
 def _differ(a: str, b: str) -> Column:
@@ -130,7 +150,7 @@ def _alike(a: str, b: str, size_a: Column, size_b: Column, num: int, den: int) -
 def _pivot_pairs(first: DataFrame, num: int, den: int) -> DataFrame:
     """(early, late): each line with the first of those that share a min-hash with it."""
     # the second rarest word is one more key: where lines differ in one rare word, that word comes first
-    heads = F.filter(F.array(*[F.get("heads", F.lit(k)) for k in (*range(len(SALTS)), len(SALTS) + 1)]), lambda x: x.isNotNull())
+    heads = F.filter(F.array(*[F.get("heads", F.lit(k)) for k in (*range(ENDS), ENDS + 1)]), lambda x: x.isNotNull())
     members = first.select("id", "odd", "half", "size", F.posexplode(heads).alias("turn", "least")).select("id", "odd", "half", "size", F.xxhash64("least", "turn").alias("key"))
     pivots = members.groupBy("key").agg(F.min(F.struct("id", "odd", "half", "size")).alias("p"), F.count("*").alias("n")).where("n > 1")
     pivots = pivots.select("key", F.col("p.id").alias("early"), F.col("p.odd").alias("odd_p"), F.col("p.half").alias("half_p"), F.col("p.size").alias("size_p"))
@@ -141,21 +161,24 @@ def _pivot_pairs(first: DataFrame, num: int, den: int) -> DataFrame:
 def _prefix_pairs(first: DataFrame, settled: DataFrame, num: int, den: int) -> DataFrame:
     """(early, late, rate): candidates by prefix words, the late line not settled, and how much their sketches differ."""
     step = math.log(den / num * 1.01)
-    starts = F.transform(F.sequence(F.lit(0), F.lit(int(40 / step))), lambda k: F.ceil(F.exp(k * step) - 1e-9))
+    # the least size of each band, as a constant: a lambda's result would be made anew for each line
+    starts = F.array(*[F.lit(math.ceil(math.exp(k * step) - 1e-9)) for k in range(int(math.log(1 << 31) / step) + 3)])
     n = F.col("size")
     band = F.floor(F.log(n.cast("double")) / step + 1e-9).cast("int")
     # how many of its words stand for a line as y, the smaller one: beside an x of the same size or more, and one of the next band
     beside = lambda other: F.greatest(F.lit(0), n - F.ceil((n + other) * num / (den + num) - 1e-9).cast("int") + 1)
     rows = first.join(settled.withColumn("done", F.lit(True)), "id", "left")
     meta = F.shiftleft(n.cast("long"), 32) + F.when(F.col("done").isNull(), LIVE).otherwise(0)
-    rows = rows.select("id", "odd", "half", meta.alias("meta"), band.alias("band"), beside(n).alias("own"), beside(F.get(starts, band + 1)).alias("next"), F.slice("heads", F.lit(len(SALTS) + 1), F.size("heads") - len(SALTS)).alias("prefix"))
-    roles = F.lit(LARGER) + F.when(F.col("at") < F.col("own"), SMALLER).otherwise(0)
-    every = rows.select("id", "odd", "half", "meta", "band", "own", F.posexplode("prefix").alias("at", "word")).withColumn("meta", F.col("meta") + roles)
-    above = rows.select("id", "odd", "half", (F.col("meta") + SMALLER).alias("meta"), (F.col("band") + 1).alias("band"), F.posexplode(F.slice("prefix", F.lit(1), F.col("next"))).alias("at", "word"))
+    rows = rows.select("id", "odd", "half", meta.alias("meta"), band.alias("band"), beside(n).alias("own"), beside(F.get(starts, band + 1)).alias("next"), F.slice("heads", F.lit(ENDS + 1), F.size("heads") - ENDS).alias("prefix"))
+    # one turn for both bands: after the whole prefix comes what stands for the line as y in the next band
+    places = F.posexplode(F.concat("prefix", F.slice("prefix", F.lit(1), F.col("next")))).alias("at", "word")
+    index = rows.select("id", "odd", "half", "meta", "band", "own", F.size("prefix").alias("length"), places)
+    above = F.col("at") >= F.col("length")
+    at = F.col("at") - F.when(above, F.col("length")).otherwise(0)
+    roles = F.when(above, SMALLER).otherwise(F.lit(LARGER) + F.when(F.col("at") < F.col("own"), SMALLER).otherwise(0))
     # narrow rows: size, roles and position are one number; both sides of the join are one shuffle
-    key = F.xxhash64("word", "band").bitwiseAND(F.lit((1 << 40) - 1)).alias("key")
-    narrow = lambda df: df.select(key, "id", "odd", "half", (F.col("meta") + F.col("at")).alias("meta"))
-    index = narrow(every).unionByName(narrow(above))
+    key = F.xxhash64("word", F.col("band") + above.cast("int")).bitwiseAND(F.lit((1 << 40) - 1)).alias("key")
+    index = index.select(key, "id", "odd", "half", (F.col("meta") + roles + at).alias("meta"))
     side = lambda s: index.select(*[F.col(c).alias(f"{c}_{s}") for c in index.columns])
     left, right = side("a"), side("b")
     has = lambda s, bit: F.col(f"meta_{s}").bitwiseAND(F.lit(bit))
@@ -174,37 +197,30 @@ def _prefix_pairs(first: DataFrame, settled: DataFrame, num: int, den: int) -> D
     return both.select(F.least("id_a", "id_b").alias("early"), F.greatest("id_a", "id_b").alias("late"), (_differ("_a", "_b") / (size_a + size_b)).cast("float").alias("rate")).distinct()
 
 
-def _verified(base: DataFrame, first: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """The ids of late lines that are similar by their words to one they are paired with, as a staged table.
+def _verified(earlier: DataFrame, later: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The ids of late lines that are similar by their words to one they are paired with, as a staged table. earlier, later: (id, line).
 
     Where pairs have a rate, each late line's likeliest are verified first, and the others only if these don't settle it.
     """
     rated = "rate" in pairs.columns
     if rated:
         pairs = pairs.select("early", "late", (F.row_number().over(W.partitionBy("late").orderBy("rate", "early")) <= TRIES).alias("likely"))
-    pairs = stage(pairs, "line-pairs")
-    ids = pairs.select(F.col("early").alias("id")).unionByName(pairs.select(F.col("late").alias("id"))).distinct()
-    wanted = first.select("id", "place").join(ids, "id")
-    wanted = wanted.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.text_key").alias("text_key")).agg(F.collect_list(F.struct("id", "place.no")).alias("lines"))
-    held = base.join(wanted, same_row(base, wanted)).select(F.split("text", "\n").alias("all"), "lines", wanted["doc_id"], wanted["text_key"])
-    held = held.select(F.explode("lines").alias("x"), "all").select("x.id", F.get("all", F.col("x.no")).alias("line"))
-    # rows repeated in the table give a line several times
-    words = stage(held.select("id", F.array_distinct(_words(F.col("line"))).alias("words")).dropDuplicates(["id"]), "line-words")
-    sides = [words.select(F.col("id").alias(c), F.col("words").alias(f"{c}_words")) for c in ("early", "late")]
-    common = F.size(F.array_intersect("early_words", "late_words"))
+        pairs = stage(pairs, "line-pairs")
+    earlier, later = earlier.toDF("early", "early_line"), later.toDF("late", "late_line")
+    x, y = (F.array_distinct(_words(F.col(c))).alias(c) for c in ("early_line", "late_line"))
+    common = F.size(F.array_intersect("early_line", "late_line"))
 
     def similar(some: DataFrame) -> DataFrame:
-        matched = some.join(sides[0], "early").join(sides[1], "late").where(common * (den + num) >= (F.size("early_words") + F.size("late_words")) * num)
-        return matched.select(F.col("late").alias("id")).distinct()
+        both = some.join(earlier, "early").join(later, "late").select("late", x, y)
+        both = both.where(common * (den + num) >= (F.size("early_line") + F.size("late_line")) * num)
+        return both.select(F.col("late").alias("id")).distinct()
 
     if not rated:
-        out = stage(similar(pairs), "line-settled")
-        discard(pairs, words)
-        return out
+        return stage(similar(pairs), "line-settled")
     likely = stage(similar(pairs.where("likely")), "line-likely")
     others = similar(pairs.where("not likely").join(likely.withColumnRenamed("id", "late"), "late", "left_anti"))
     out = stage(likely.unionByName(others), "line-settled")
-    discard(pairs, words, likely)
+    discard(pairs, likely)
     return out
 
 

@@ -88,6 +88,15 @@ def test_likeliest_candidates_settle_dense_groups(spark, docs, monkeypatch):
     assert made["all"] > 1000 and 3 * made["verified"] < made["all"]
 
 
+def test_a_text_is_split_once_for_all_its_lines(spark, docs, monkeypatch):
+    """No line of a text has it split anew, and no line makes the table of the bands' least sizes."""
+    plans, real = [], lines.stage
+    monkeypatch.setattr(lines, "stage", lambda df, *rest: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), real(df, *rest))[1])
+    rows = [(i, f"a b c d e\nx{i} y z\nf g h i j k{i}") for i in range(3)]
+    assert got(docs(rows)) == plain(rows)
+    assert plans and not [x for x in plans if re.search(r"split\([^()]*, -1\)\[", x) or "EXP(" in x]
+
+
 def test_long_and_hot_lines(spark, docs):
     rng = random.Random(9)
     long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(30_000))
